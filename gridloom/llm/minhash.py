@@ -25,7 +25,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Buckets up to this size are compared pair by pair, larger ones with their least member and then by finer buckets.
 SMALL = 12
-LEVELS = 3
+LEVELS = 2
+#: Units of weight, and some for each document's darts, that are worked on at once.
+TOGETHER = 200_000
 
 
 def weighted(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,47 +35,56 @@ def weighted(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(units, return_counts=True)
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """The identifiers of the earliest darts on k coordinates for regions [0, weight) of the elements."""
-    weights = np.asarray(weights, float)
-    whole = np.ceil(weights).astype(np.int64)
-    owner = np.repeat(np.arange(len(elements)), whole)
-    unit = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
-    top = (weights[owner] - unit).clip(max=1.0)
-    seed = mix(elements[owner] + mix(unit.astype(np.uint64) + np.uint64(1)))
-    best = np.full(k, np.inf)
-    sign = np.zeros(k, np.uint64)
-    limit = (k * math.log(k) + 2 * k) / weights.sum()
-    low = 0.0
-    while True:
-        # darts of rank low..limit; a unit's n-th rank is a sum of n exponential gaps
-        live, rank, n = seed, np.zeros(len(seed)), 0
-        height = top
+def dart_signatures(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """For each (elements, weights): the identifiers of the earliest darts on k coordinates for regions [0, weight) of the elements.
+
+    All parts throw together. A part whose darts leave a coordinate empty throws on, to twice the rank.
+    """
+    out = np.zeros((len(parts), k), np.uint64)
+    todo, scale = np.arange(len(parts)), 1.0
+    while len(todo):
+        elements = np.concatenate([parts[i][0] for i in todo])
+        weights = np.concatenate([parts[i][1] for i in todo]).astype(float)
+        part = np.repeat(np.arange(len(todo)), [len(parts[i][0]) for i in todo])
+        limits = scale * (k * math.log(k) + 2 * k) / np.bincount(part, weights, len(todo))
+        whole = np.ceil(weights).astype(np.int64)
+        owner = np.repeat(np.arange(len(elements)), whole)
+        unit = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
+        live = mix(elements[owner] + mix(unit.astype(np.uint64) + np.uint64(1)))
+        height, limit, base = (weights[owner] - unit).clip(max=1.0), limits[part[owner]], part[owner] * k
+        rank, n = np.zeros(len(live)), 0
+        slots, ranks, darts = [], [], []
         while len(live):
+            # a unit's n-th rank is a sum of n exponential gaps
             n += 1
             x = mix(live + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))
             rank = rank - np.log(((x >> np.uint64(11)).astype(float) + 1) * 2.0**-53)
-            go = rank < limit
-            live, rank, x, height = live[go], rank[go], x[go], height[go]
-            y = mix(x ^ np.uint64(0xD6E8FEB86659FD93))
-            hit = (rank >= low) & ((mix(y) >> np.uint64(11)).astype(float) * 2.0**-53 < height)
-            if hit.any():
-                at, r, d = (y[hit] % np.uint64(k)).astype(np.int64), rank[hit], y[hit]
-                order = np.lexsort((d, r, at))
-                at, r, d = at[order], r[order], d[order]
-                head = np.concatenate([[True], at[1:] != at[:-1]])
-                at, r, d = at[head], r[head], d[head]
-                less = r < best[at]
-                best[at[less]], sign[at[less]] = r[less], d[less]
-        if not np.isinf(best).any():
-            return sign
-        low, limit = limit, limit * 2
+            go = np.flatnonzero(rank < limit)
+            live, rank, height, limit, base = live[go], rank[go], height[go], limit[go], base[go]
+            y = mix(x[go] ^ np.uint64(0xD6E8FEB86659FD93))
+            slot = base + (y % np.uint64(k)).astype(np.int64)
+            if (height < 1).any():
+                hit = (mix(y) >> np.uint64(11)).astype(float) * 2.0**-53 < height
+                slots.append(slot[hit]), ranks.append(rank[hit]), darts.append(y[hit])
+            else:
+                slots.append(slot), ranks.append(rank), darts.append(y)
+        slot, rank, dart = np.concatenate(slots), np.concatenate(ranks), np.concatenate(darts)
+        best = np.full(len(todo) * k, np.inf)
+        np.minimum.at(best, slot, rank)
+        first = rank == best[slot]
+        sign = np.zeros(len(todo) * k, np.uint64)
+        np.maximum.at(sign, slot[first], dart[first])
+        done = ~np.isinf(best).reshape(-1, k).any(axis=1)
+        out[todo[done]] = sign.reshape(-1, k)[done]
+        todo, scale = todo[~done], scale * 2
+    return out
 
 
 def bands(sign: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
-    out = np.arange(1, n_bands + 1, dtype=np.uint64)
+    """The band hashes of each row of signatures."""
+    out = np.tile(np.arange(1, n_bands + 1, dtype=np.uint64), (len(sign), 1))
     for r in range(rows):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + sign[r : n_bands * rows : rows])
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + sign[:, r : n_bands * rows : rows])
     return out.view(np.int64)
 
 
@@ -91,15 +102,31 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, n_bands: int = BANDS, ro
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            n, f1, f2, keys = [], [], [], []
-            for t in b.column(1):
+            n, f1, f2, keys = [], [], [], [None] * b.num_rows
+            held: list[tuple[int, tuple]] = []
+
+            def throw(held=held, keys=keys):
+                got = bands(dart_signatures([p for _, p in held], n_bands * rows), n_bands, rows)
+                for (i, _), x in zip(held, got, strict=True):
+                    keys[i] = x
+                held.clear()
+
+            units = 0
+            for i, t in enumerate(b.column(1)):
                 h = hashes.of(t.as_py())
                 s = shingles(h, shingle)
                 n.append(len(s))
                 place = mix(np.arange(1, len(h) + 1, dtype=np.uint64))
                 f1.append(int(mix(h + place).sum(dtype=np.uint64).view(np.int64)))
                 f2.append(int(np.bitwise_xor.reduce(mix(mix(h) + place), initial=np.uint64(len(h))).view(np.int64)))
-                keys.append(bands(dart_signature(*weighted(s), n_bands * rows), n_bands, rows) if len(s) else None)
+                if len(s):
+                    held.append((i, weighted(s)))
+                    units += len(s) + 8 * n_bands * rows
+                if units > TOGETHER:
+                    throw()
+                    units = 0
+            if held:
+                throw()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "bands"])
 
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text")).where("doc_id is not null")
@@ -107,18 +134,27 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, n_bands: int = BANDS, ro
 
 
 def candidates(rows: DataFrame, small: int, threshold: float) -> DataFrame:
-    """Distinct (a, b), a < b, from rows (key, id, n): all pairs of small buckets, pairs with the least member of larger ones.
+    """Distinct (a, b), a < b, from rows (key, id, n, pop, component): all pairs of small buckets, pairs with a leader in larger ones.
 
-    Pairs whose sizes alone rule out the threshold are left out.
+    The leader is the member with the most company in all its buckets, the likeliest original of a group of copies. Pairs whose
+    sizes alone rule out the threshold, or that are in one component already, are left out.
     """
-    stats = checkpoint(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("lead")).where("size > 1"))
-    hit = rows.join(stats, "key")
-    member = F.struct("id", "n")
+    stats = rows.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("pop", (-F.col("id")).alias("less"), "id", "n", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
+    hit = rows.join(checkpoint(stats.where("size > 1 and low < high").select("key", "size", "lead")), "key")
+    member = F.struct("id", "n", "component")
     few = hit.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("m"))
     few = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as x, y as y))))")).alias("p")).select("p.x", "p.y")
-    many = hit.where(F.col("size") > small).select(F.col("lead").alias("x"), member.alias("y"))
+    many = hit.where(F.col("size") > small).select(F.struct("lead.id", "lead.n", "lead.component").alias("x"), member.alias("y"))
     ok = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n")
-    return few.unionByName(many).where(ok & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return few.unionByName(many).where(ok & (F.col("x.component") != F.col("y.component"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def company(keyed: DataFrame) -> DataFrame:
+    """The rows (id, n, key) of buckets with several members, with pop: how many members all its buckets have."""
+    size = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    hit = checkpoint(keyed.join(size, "key"))
+    pop = checkpoint(hit.groupBy("id").agg(F.sum("size").alias("pop")))
+    return checkpoint(hit.join(pop, "id").select("id", "n", "key", "pop", F.col("id").alias("component")))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -149,26 +185,28 @@ def classes(docs: DataFrame, *, threshold: float = SIMILARITY, shingle: int = SH
     """
     s = checkpoint(signatures(docs, shingle, n_bands, rows))
     reps = checkpoint(s.where("bands is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    keyed = reps.select("id", "n", F.explode("bands").alias("key")).distinct()
+    keyed = first = company(reps.select("id", "n", F.explode("bands").alias("key")).distinct())
     edges, done, label = None, None, None
-    for _level in range(LEVELS):
+    for level in range(LEVELS):
         pairs = candidates(keyed, small, threshold)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = checkpoint(pairs)
-        if pairs.isEmpty() and edges is not None:
+        if label is not None and pairs.isEmpty():
             break
         found = checkpoint(verify(pairs, docs, shingle, threshold).select("a", "b"))
         edges = found if edges is None else edges.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         label = checkpoint(components(edges))
-        named = keyed.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if level + 1 == LEVELS:
+            break
+        named = keyed.drop("component").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
         mixed = checkpoint(mixed.where((F.col("size") > small) & (F.col("low") < F.col("high"))).select("key"))
         if mixed.isEmpty():
             break
-        finer = keyed.join(mixed, "key").join(reps.select("id", F.explode("bands").alias("other")), "id").where("key <> other")
-        keyed = checkpoint(finer.select("id", "n", F.expr("key ^ xxhash64(other)").alias("key")).distinct())
+        finer = named.join(mixed, "key").join(first.select("id", F.col("key").alias("other")), "id").where("key <> other")
+        keyed = checkpoint(finer.select("id", "n", "pop", "component", F.expr("key ^ xxhash64(other)").alias("key")).distinct())
     full = s.join(checkpoint(reps.select("f1", "f2", "n", "id")), ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("bands").isNotNull(), F.col("id")).alias("id"))
     full = full.join(label, "id", "left").select("doc_id", F.coalesce("component", "id", "doc_id").alias("class_id"))
     return full.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -102,17 +102,18 @@ def _places(text: Column, pattern: str, kind: int, keep=None) -> Column:
     return walked
 
 
-def scan(docs: DataFrame, llr: list[float], *, text: str = "text", carry: tuple[str, ...] = ("doc_id",), min_run: int = 20, min_total: float = 14.0, min_mean: float = 0.4) -> DataFrame:
+def scan(docs: DataFrame, llr: list[float], *, text: str = "text", carry: tuple[str, ...] = ("doc_id",), min_run: int = 20, min_total: float = 14.0, min_mean: float = 0.4, min_distinct: int = 8) -> DataFrame:
     """The carried columns with `base` and `found`: sorted arrays of (s start, k kind number, e end), in code points, ends exclusive.
 
-    `found` adds to `base` the runs of at least `min_run` characters whose log-likelihood ratio reaches `min_total` in all
-    and `min_mean` a character. Each pattern is gated by a cheap test, so texts without any match are passed over once.
+    `found` adds to `base` the runs of at least `min_run` characters with `min_distinct` different ones, whose
+    log-likelihood ratio reaches `min_total` in all and `min_mean` a character. Each pattern is gated by a cheap test, so texts without any match are passed over once.
     """
     t = text_of(text)
     empty = F.expr("cast(array() as array<struct<s:bigint,k:int,e:bigint>>)")
     scores = number_table(llr)
     total = lambda m: F.aggregate(bigrams(m), F.lit(0.0), lambda acc, i: acc + F.element_at(scores, i.cast("int")))
-    unlikely = lambda m: total(m) >= F.greatest(F.lit(min_total), F.length(m) * F.lit(min_mean))
+    varied = lambda m: F.size(F.array_distinct(F.split(m, ""))) >= min_distinct
+    unlikely = lambda m: varied(m) & (total(m) >= F.greatest(F.lit(min_total), F.length(m) * F.lit(min_mean)))
     gated = lambda gate, places: F.when(gate, places).otherwise(empty)
     src = docs.select(*carry, t.alias("_text"))
     t = F.col("_text")
