@@ -6,13 +6,13 @@ dropped by what a stage finds: a row with a null doc_id can't be named by a find
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, minhash, packing, secrets, toxicity
-from gridloom.llm.common import checkpoint, table, text_of
+from gridloom.llm.common import checkpoint, shared_folder, table, text_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-pipeline-")
-    place = f"{shared.rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    place = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a private one only where that is unset."""
+    global _private
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and _private is None:
+        _private = tempfile.mkdtemp(prefix="gridloom-")
+    return (named or _private).rstrip("/")
+
+
+_private: str | None = None
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable files in spark.checkpoint.dir; a private folder only if that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """Cut lineage: write the rows to the shared folder and read them again.
+
+    Unlike DataFrame.checkpoint this also drops the estimates of the plan before, which are products over all joins and, over
+    rounds of an iteration, grow into numbers that take minutes to multiply; files have a real size instead.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gridloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(col: str | Column) -> Column:

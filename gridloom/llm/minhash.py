@@ -23,9 +23,9 @@ from .words import Hashes, mix, shingles
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6: a pair at 0.8 shares none with a chance of 6e-5.
 BANDS, ROWS = 32, 6
-#: Buckets up to this size are compared pair by pair, larger ones with their least member and then by finer buckets.
+#: Buckets up to this size are compared pair by pair, larger ones with so many leaders, one after the other.
 SMALL = 12
-LEVELS = 2
+LEADERS = 4
 #: Units of weight, and some for each document's darts, that are worked on at once.
 TOGETHER = 200_000
 
@@ -133,20 +133,31 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, n_bands: int = BANDS, ro
     return src.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def candidates(rows: DataFrame, small: int, threshold: float) -> DataFrame:
-    """Distinct (a, b), a < b, from rows (key, id, n, pop, component): all pairs of small buckets, pairs with a leader in larger ones.
+def led(rows: DataFrame, small: int, first: bool) -> DataFrame:
+    """Rows (key, id, n, pop, component, led) of the buckets that hold several components, with size and lead.
 
-    The leader is the member with the most company in all its buckets, the likeliest original of a group of copies. Pairs whose
-    sizes alone rule out the threshold, or that are in one component already, are left out.
+    lead is the member with the most company in all its buckets, the likeliest original of a group of copies, among the
+    components that had no leader in the bucket yet; a bucket without one is done, and after the first round a small one too.
+    """
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.max("led").alias("led"), F.max(F.struct("pop", (-F.col("id")).alias("less"), "id", "n")).alias("best"))
+    lead = parts.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct((~F.col("led")).alias("new"), "best", "component")).alias("lead"))
+    lead = lead.where(F.col("lead.new") & (F.col("parts") > 1) & (F.lit(first) | (F.col("size") > small))).select("key", "size", F.struct("lead.best.id", "lead.best.n", "lead.component").alias("lead"))
+    return checkpoint(rows.join(checkpoint(lead), "key"))
+
+
+def candidates(hit: DataFrame, small: int, threshold: float, first: bool) -> DataFrame:
+    """Distinct (a, b), a < b: pairs with the leader in large buckets and, in the first round, all pairs of small ones.
+
+    Pairs whose sizes alone rule out the threshold, or that are in one component already, are left out.
     """
-    stats = rows.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("pop", (-F.col("id")).alias("less"), "id", "n", "component")).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
-    hit = rows.join(checkpoint(stats.where("size > 1 and low < high").select("key", "size", "lead")), "key")
     member = F.struct("id", "n", "component")
-    few = hit.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("m"))
-    few = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as x, y as y))))")).alias("p")).select("p.x", "p.y")
-    many = hit.where(F.col("size") > small).select(F.struct("lead.id", "lead.n", "lead.component").alias("x"), member.alias("y"))
+    pairs = hit.where(F.col("size") > small).select(F.col("lead").alias("x"), member.alias("y"))
+    if first:
+        few = hit.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("m"))
+        few = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as x, y as y))))")).alias("p")).select("p.x", "p.y")
+        pairs = pairs.unionByName(few)
     ok = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n")
-    return few.unionByName(many).where(ok & (F.col("x.component") != F.col("y.component"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    return pairs.where(ok & (F.col("x.component") != F.col("y.component"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def company(keyed: DataFrame) -> DataFrame:
@@ -154,14 +165,17 @@ def company(keyed: DataFrame) -> DataFrame:
     size = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     hit = checkpoint(keyed.join(size, "key"))
     pop = checkpoint(hit.groupBy("id").agg(F.sum("size").alias("pop")))
-    return checkpoint(hit.join(pop, "id").select("id", "n", "key", "pop", F.col("id").alias("component")))
+    return checkpoint(hit.join(pop, "id").select("id", "n", "key", "pop", F.col("id").alias("component"), F.lit(False).alias("led")))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach the threshold, by their whole texts. Each join has a key that is unique on one side."""
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, t): the texts of the documents that have company."""
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs["text"]).alias("t"))
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = checkpoint(texts.join(ids, "id").groupBy("id").agg(F.min("t").alias("t")))
+    return checkpoint(texts.join(checkpoint(ids.select("id").distinct()), "id").groupBy("id").agg(F.min("t").alias("t")))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that reach the threshold, by their whole texts. Each join has a key that is unique on one side."""
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,33 +194,26 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: float) ->
 def classes(docs: DataFrame, *, threshold: float = SIMILARITY, shingle: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """doc_id, class_id (least id of the documents that chains of links reach), kept, for each distinct id.
 
-    Documents with equal words are one node. A bucket with more than `small` nodes is compared with its least node; where
-    that leaves it in several classes, its nodes go on in finer buckets, of one band more.
+    Documents with equal words are one node. All pairs of a bucket with up to `small` nodes are compared; in a larger one
+    all nodes are compared with a leader, and while that leaves several components with one more, for `LEADERS` rounds.
     """
     s = checkpoint(signatures(docs, shingle, n_bands, rows))
     reps = checkpoint(s.where("bands is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    keyed = first = company(reps.select("id", "n", F.explode("bands").alias("key")).distinct())
+    keyed = company(reps.select("id", "n", F.explode("bands").alias("key")).distinct())
+    texts = texts_of(docs, keyed)
     edges, done, label = None, None, None
-    for level in range(LEVELS):
-        pairs = candidates(keyed, small, threshold)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        if label is not None and pairs.isEmpty():
+    for turn in range(LEADERS):
+        hit = led(keyed, small, turn == 0)
+        pairs = candidates(hit, small, threshold, turn == 0)
+        pairs = checkpoint(pairs.join(done, ["a", "b"], "left_anti") if turn else pairs)
+        if turn and hit.isEmpty():
             break
-        found = checkpoint(verify(pairs, docs, shingle, threshold).select("a", "b"))
-        edges = found if edges is None else edges.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
+        found = checkpoint(verify(pairs, texts, shingle, threshold).select("a", "b"))
+        edges = edges.unionByName(found) if turn else found
+        done = done.unionByName(pairs) if turn else pairs
         label = checkpoint(components(edges))
-        if level + 1 == LEVELS:
-            break
-        named = keyed.drop("component").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        mixed = checkpoint(mixed.where((F.col("size") > small) & (F.col("low") < F.col("high"))).select("key"))
-        if mixed.isEmpty():
-            break
-        finer = named.join(mixed, "key").join(first.select("id", F.col("key").alias("other")), "id").where("key <> other")
-        keyed = checkpoint(finer.select("id", "n", "pop", "component", F.expr("key ^ xxhash64(other)").alias("key")).distinct())
+        hit = hit.withColumn("led", F.col("led") | (F.col("id") == F.col("lead.id"))).drop("component", "size", "lead")
+        keyed = checkpoint(hit.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
     full = s.join(checkpoint(reps.select("f1", "f2", "n", "id")), ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("bands").isNotNull(), F.col("id")).alias("id"))
     full = full.join(label, "id", "left").select("doc_id", F.coalesce("component", "id", "doc_id").alias("class_id"))
     return full.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
