@@ -238,8 +238,10 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     # blocks of one ball meet the blocks of the other that angles leave open
     part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)))
     asked = judged.where("kind = 1").select("component", "ball", "ball2")
-    chunks = balls.join(stat.select("component", "ball", "size"), ["component", "ball"]).join(asked.select("component", "ball").distinct(), ["component", "ball"])
-    block = checkpoint(chunks.groupBy("component", "ball", part.alias("part")).agg(F.collect_list(F.struct("id", "weight", "x")).alias("m")))
+    chunks = balls.join(stat.select("component", "ball", "size"), ["component", "ball"]).join(checkpoint(asked.select("component", "ball").distinct()), ["component", "ball"])
+    # written first, or the blocks of a ball would be made where the join has put the whole ball
+    chunks = checkpoint(chunks.select("component", "ball", part.alias("part"), "id", "weight", "x"))
+    block = checkpoint(chunks.groupBy("component", "ball", "part").agg(F.collect_list(F.struct("id", "weight", "x")).alias("m")))
     face = asked.join(block.select("component", "ball", "m"), ["component", "ball"]).join(block.select("component", F.col("ball").alias("ball2"), F.col("m").alias("m2")), ["component", "ball2"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
