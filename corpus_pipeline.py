@@ -26,9 +26,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that of the least id; of rows that share an id, one."""
     found = checkpoint(minhash.classes(docs))
-    gone = found.where("not kept").select("doc_id")
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # by sorted shuffles at every size: what goes grows with the corpus
+    kept = docs.select(*COLUMNS).join(found.where("not kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
     twice = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
     again = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
     return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(again)
 

@@ -171,7 +171,7 @@ def company(keyed: DataFrame) -> DataFrame:
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, t): the texts of the documents that have company."""
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs["text"]).alias("t"))
-    return checkpoint(texts.join(checkpoint(ids.select("id").distinct()), "id").groupBy("id").agg(F.min("t").alias("t")))
+    return checkpoint(texts.join(checkpoint(ids.select("id").distinct()).hint("merge"), "id").groupBy("id").agg(F.min("t").alias("t")))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
