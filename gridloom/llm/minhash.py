@@ -9,6 +9,7 @@ a null id are ignored; repeated rows count once; empty tables give empty results
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -23,9 +24,11 @@ from .words import Hashes, mix, shingles
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6: a pair at 0.8 shares none with a chance of 6e-5.
 BANDS, ROWS = 32, 6
-#: Buckets up to this size are compared pair by pair, larger ones with so many leaders, one after the other.
+#: Buckets up to this size are compared pair by pair, larger ones with leaders: one a round for so many rounds, then ever more.
 SMALL = 12
 LEADERS = 4
+#: How far below its mean the agreement of two signatures may lie, in standard deviations.
+SPREAD = 4.0
 #: Units of weight, and some for each document's darts, that are worked on at once.
 TOGETHER = 200_000
 
@@ -88,27 +91,36 @@ def bands(sign: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def numbered(units: np.ndarray) -> np.ndarray:
+    """The sorted shingles with repetition, the k-th of equal ones made another: the similarity of two such sets is weighted."""
+    x = np.sort(units)
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    nth = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x))))
+    return np.sort(mix(x + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard of two arrays of shingles with repetition."""
-    (x, n), (y, m) = weighted(a), weighted(b)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = np.minimum(n[i], m[j]).sum()
-    return float(both / max(len(a) + len(b) - both, 1))
+    """Jaccard of two arrays of `numbered`."""
+    if not len(a) or not len(b):
+        return 0.0
+    both = int((a[np.minimum(a.searchsorted(b), len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n, f1, f2, bands): number of shingles, fingerprint of the word sequence, band hashes; null bands without words."""
+    """(doc_id, n, f1, f2, bands, sketch): number of shingles, fingerprint of the word sequence, band hashes and a byte of each
+    coordinate of the signature; the last two are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            n, f1, f2, keys = [], [], [], [None] * b.num_rows
+            n, f1, f2, keys, sketch = [], [], [], [None] * b.num_rows, [None] * b.num_rows
             held: list[tuple[int, tuple]] = []
 
-            def throw(held=held, keys=keys):
-                got = bands(dart_signatures([p for _, p in held], n_bands * rows), n_bands, rows)
-                for (i, _), x in zip(held, got, strict=True):
-                    keys[i] = x
+            def throw(held=held, keys=keys, sketch=sketch):
+                sign = dart_signatures([p for _, p in held], n_bands * rows)
+                for (i, _), x, y in zip(held, bands(sign, n_bands, rows), (sign & np.uint64(255)).astype(np.uint8), strict=True):
+                    keys[i], sketch[i] = x, y.tobytes()
                 held.clear()
 
             units = 0
@@ -127,31 +139,49 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, n_bands: int = BANDS, ro
                     units = 0
             if held:
                 throw()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n", "f1", "f2", "bands", "sketch"])
 
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text")).where("doc_id is not null")
-    return src.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return src.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch binary")
+
+
+def live_buckets(rows: DataFrame, small: int, first: bool) -> DataFrame:
+    """Rows (key, id, n, pop, component, led) of the buckets with pairs still to compare, with size, rest, biggest and lead.
+
+    Each member that has led was compared with its whole bucket, so a bucket is done once all members outside its biggest
+    component have led; `rest` counts those that have not. Small buckets are done after the first round. lead is the
+    member with the most company in all its buckets, the likeliest original of a group of copies, first of all among
+    components without a leader.
+    """
+    best = F.max(F.when(~F.col("led"), F.struct("pop", (-F.col("id")).alias("less"), "id", "n")))
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.count_if(~F.col("led")).alias("waiting"), F.max("led").alias("led"), best.alias("best"))
+    lead = F.max(F.when(F.col("best").isNotNull(), F.struct((~F.col("led")).alias("new"), "best", "component")))
+    whole = parts.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("parts"), F.sum("waiting").alias("waiting"), F.max(F.struct("size", "component", "waiting")).alias("big"), lead.alias("lead"))
+    whole = whole.withColumn("rest", F.col("waiting") - F.col("big.waiting")).where((F.col("parts") > 1) & (F.lit(first) | (F.col("size") > small) & (F.col("rest") > 0)))
+    return checkpoint(rows.join(checkpoint(whole.select("key", "size", "rest", F.col("big.component").alias("biggest"), F.struct("lead.best.id", "lead.best.n", "lead.component").alias("lead"))), "key"))
 
 
-def led(rows: DataFrame, small: int, first: bool) -> DataFrame:
-    """Rows (key, id, n, pop, component, led) of the buckets that hold several components, with size and lead.
+def leaders(hit: DataFrame, turn: int) -> DataFrame:
+    """(key, lead): one leader a bucket in the first rounds, then up to 4, 16, 64, ... of the members that still have to lead.
 
-    lead is the member with the most company in all its buckets, the likeliest original of a group of copies, among the
-    components that had no leader in the bucket yet; a bucket without one is done, and after the first round a small one too.
+    The members are dealt into as many slots by hash, and the one with the most company in each leads; when no more members are
+    left than slots, all lead. So every bucket is done after a number of rounds that grows with the logarithm of its size.
     """
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.max("led").alias("led"), F.max(F.struct("pop", (-F.col("id")).alias("less"), "id", "n")).alias("best"))
-    lead = parts.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("parts"), F.max(F.struct((~F.col("led")).alias("new"), "best", "component")).alias("lead"))
-    lead = lead.where(F.col("lead.new") & (F.col("parts") > 1) & (F.lit(first) | (F.col("size") > small))).select("key", "size", F.struct("lead.best.id", "lead.best.n", "lead.component").alias("lead"))
-    return checkpoint(rows.join(checkpoint(lead), "key"))
+    if turn < LEADERS:
+        return hit.groupBy("key").agg(F.first("lead").alias("lead"))
+    slots = 4 ** (turn - LEADERS + 1)
+    todo = hit.where(~F.col("led") & (F.col("component") != F.col("biggest")))
+    todo = todo.withColumn("slot", F.when(F.col("rest") <= slots, F.col("id")).otherwise(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(slots))))
+    return todo.groupBy("key", "slot").agg(F.max(F.struct("pop", (-F.col("id")).alias("less"), F.struct("id", "n", "component").alias("lead"))).alias("best")).select("key", "best.lead")
 
 
-def candidates(hit: DataFrame, small: int, threshold: float, first: bool) -> DataFrame:
-    """Distinct (a, b), a < b: pairs with the leader in large buckets and, in the first round, all pairs of small ones.
+def candidates(hit: DataFrame, lead: DataFrame, small: int, threshold: float, first: bool) -> DataFrame:
+    """Distinct (a, b), a < b: pairs with the leaders in large buckets and, in the first round, all pairs of small ones.
 
     Pairs whose sizes alone rule out the threshold, or that are in one component already, are left out.
     """
     member = F.struct("id", "n", "component")
-    pairs = hit.where(F.col("size") > small).select(F.col("lead").alias("x"), member.alias("y"))
+    pairs = hit.drop("lead").where(F.col("size") > small).join(lead, "key").select(F.col("lead").alias("x"), member.alias("y"))
     if first:
         few = hit.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("m"))
         few = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as x, y as y))))")).alias("p")).select("p.x", "p.y")
@@ -160,6 +190,24 @@ def candidates(hit: DataFrame, small: int, threshold: float, first: bool) -> Dat
     return pairs.where(ok & (F.col("x.component") != F.col("y.component"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def agreeing(pairs: DataFrame, sketches: DataFrame, coordinates: int, threshold: float) -> DataFrame:
+    """The pairs whose signatures agree on so many coordinates that the threshold can be reached.
+
+    A pair at the threshold agrees on that share of the coordinates, give or take; what is `SPREAD` standard deviations below is
+    left out, a chance of 3e-5. Shingles are then fetched for fewer pairs.
+    """
+    least = coordinates * threshold - SPREAD * math.sqrt(coordinates * threshold * (1 - threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+                yield b.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def company(keyed: DataFrame) -> DataFrame:
     """The rows (id, n, key) of buckets with several members, with pop: how many members all its buckets have."""
     size = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
@@ -168,51 +216,62 @@ def company(keyed: DataFrame) -> DataFrame:
     return checkpoint(hit.join(pop, "id").select("id", "n", "key", "pop", F.col("id").alias("component"), F.lit(False).alias("led")))
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, t): the texts of the documents that have company."""
+def units_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, u): the numbered shingles, as bytes, of the documents that have company."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            u = [numbered(shingles(hashes.of(t.as_py()), shingle)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(u, pa.binary())], ["id", "u"])
+
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs["text"]).alias("t"))
-    return checkpoint(texts.join(checkpoint(ids.select("id").distinct()).hint("merge"), "id").groupBy("id").agg(F.min("t").alias("t")))
+    texts = texts.join(checkpoint(ids.select("id").distinct()).hint("merge"), "id").groupBy("id").agg(F.min("t").alias("t"))
+    return checkpoint(texts.mapInArrow(run, "id long, u binary"))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach the threshold, by their whole texts. Each join has a key that is unique on one side."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+def verify(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that reach the threshold, by all their shingles. Each join has a key that is unique on one side."""
+    both = pairs.join(units.select(F.col("id").alias("b"), F.col("u").alias("ub")), "b").join(units.select(F.col("id").alias("a"), F.col("u").alias("ua")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, own = Hashes(), None, None
+        last, own = None, None
         for b in batches:
             value = []
-            for i, ta, tb in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+            for i, ua, ub in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
                 if i != last:
-                    last, own = i, shingles(hashes.of(ta.as_py()), shingle)
-                value.append(similarity(own, shingles(hashes.of(tb.as_py()), shingle)))
+                    last, own = i, np.frombuffer(ua.as_buffer(), np.uint64)
+                value.append(similarity(own, np.frombuffer(ub.as_buffer(), np.uint64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(value, pa.float64())], ["a", "b", "similarity"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+    return both.select("a", "b", "ua", "ub").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
 def classes(docs: DataFrame, *, threshold: float = SIMILARITY, shingle: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """doc_id, class_id (least id of the documents that chains of links reach), kept, for each distinct id.
 
     Documents with equal words are one node. All pairs of a bucket with up to `small` nodes are compared; in a larger one
-    all nodes are compared with a leader, and while that leaves several components with one more, for `LEADERS` rounds.
+    leaders are compared with all nodes, round by round, until no pair of different components is left.
     """
     s = checkpoint(signatures(docs, shingle, n_bands, rows))
-    reps = checkpoint(s.where("bands is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
+    reps = checkpoint(s.where("bands is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     keyed = company(reps.select("id", "n", F.explode("bands").alias("key")).distinct())
-    texts = texts_of(docs, keyed)
+    units = units_of(docs, keyed, shingle)
     edges, done, label = None, None, None
-    for turn in range(LEADERS):
-        hit = led(keyed, small, turn == 0)
-        pairs = candidates(hit, small, threshold, turn == 0)
-        pairs = checkpoint(pairs.join(done, ["a", "b"], "left_anti") if turn else pairs)
+    for turn in itertools.count():
+        hit = live_buckets(keyed, small, turn == 0)
         if turn and hit.isEmpty():
             break
-        found = checkpoint(verify(pairs, texts, shingle, threshold).select("a", "b"))
+        lead = checkpoint(leaders(hit, turn))
+        pairs = candidates(hit, lead, small, threshold, turn == 0)
+        pairs = checkpoint(pairs.join(done, ["a", "b"], "left_anti") if turn else pairs)
+        likely = checkpoint(agreeing(pairs, reps, n_bands * rows, threshold)) if turn else pairs
+        found = checkpoint(verify(likely, units, threshold).select("a", "b"))
         edges = edges.unionByName(found) if turn else found
         done = done.unionByName(pairs) if turn else pairs
         label = checkpoint(components(edges))
-        hit = hit.withColumn("led", F.col("led") | (F.col("id") == F.col("lead.id"))).drop("component", "size", "lead")
+        was = lead.select("key", F.col("lead.id").alias("id"), F.lit(True).alias("leads"))
+        hit = hit.select("key", "id", "n", "pop", "led").join(was, ["key", "id"], "left").withColumn("led", F.col("led") | F.coalesce("leads", F.lit(False))).drop("leads")
         keyed = checkpoint(hit.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
     full = s.join(checkpoint(reps.select("f1", "f2", "n", "id")), ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("bands").isNotNull(), F.col("id")).alias("id"))
     full = full.join(label, "id", "left").select("doc_id", F.coalesce("component", "id", "doc_id").alias("class_id"))

@@ -1,6 +1,7 @@
 """Components, MinHash, embeddings and the pipeline against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -42,13 +43,18 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert (alone[0] == sign[1]).all()
 
 
+def jaccard(x, y):
+    x, y = Counter(x.tolist()), Counter(y.tolist())
+    return (x & y).total() / max((x | y).total(), 1)
+
+
 def brute(rows, threshold=0.8):
     h = Hashes()
     own = {}
     for i, t in rows:
         if i is not None:
             own.setdefault(i, []).append(shingles(h.of(t or "")))
-    links = [(a, b) for a in own for b in own if a < b and any(len(x) and len(y) and minhash.similarity(x, y) >= threshold for x in own[a] for y in own[b])]
+    links = [(a, b) for a in own for b in own if a < b and any(jaccard(x, y) >= threshold for x in own[a] for y in own[b])]
     return classes_of(own, links)
 
 
@@ -64,6 +70,33 @@ def copies(rng):
     return rows
 
 
+def test_similarity_is_weighted_jaccard():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        x, y = (rng.integers(1, 9, rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        assert minhash.similarity(minhash.numbered(x), minhash.numbered(y)) == jaccard(x, y)
+
+
+def test_large_buckets_lose_no_link(spark):
+    """A chain of edits of which no leader reaches the ends, and outliers that link only with each other, all in large buckets."""
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for k in range(150):
+        w[k] = f"x{k}"
+        if k % 2:
+            rows.append((k, " ".join(w)))
+    base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    for k in range(60):
+        v = list(base)
+        for at in rng.sample(range(300), 7) if k % 3 else range(0, 300, 40 + k % 7):
+            v[at] = f"y{k}-{at}"
+        rows.append((1000 + k, " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(df, small=2).collect()}
+    assert got == brute(rows)
+
+
 def test_minhash_against_brute_force(spark):
     rows = copies(random.Random(6))
     rows += [(2000, None), (2001, ""), (2002, "?!"), (2003, "one"), (2004, "One"), (None, "x"), (2005, "same line here again\n" * 2000)] + rows[:3]
