@@ -24,9 +24,11 @@ from .words import Hashes, mix, shingles
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6: a pair at 0.8 shares none with a chance of 6e-5.
 BANDS, ROWS = 32, 6
-#: Buckets up to this size are compared pair by pair, larger ones with leaders: one a round for so many rounds, then ever more.
+#: Buckets up to this size are compared pair by pair, larger ones with leaders: one a round for so many rounds, then so many and
+#: each round so many times more.
 SMALL = 12
-LEADERS = 4
+LEADERS = 3
+GROWTH = 8
 #: How far below its mean the agreement of two signatures may lie, in standard deviations.
 SPREAD = 4.0
 #: Units of weight, and some for each document's darts, that are worked on at once.
@@ -162,32 +164,33 @@ def live_buckets(rows: DataFrame, small: int, first: bool) -> DataFrame:
 
 
 def leaders(hit: DataFrame, turn: int) -> DataFrame:
-    """(key, lead): one leader a bucket in the first rounds, then up to 4, 16, 64, ... of the members that still have to lead.
+    """(key, lead): up to 8, 64, 512, ... of the members that still have to lead in each large bucket.
 
     The members are dealt into as many slots by hash, and the one with the most company in each leads; when no more members are
     left than slots, all lead. So every bucket is done after a number of rounds that grows with the logarithm of its size.
     """
-    if turn < LEADERS:
-        return hit.groupBy("key").agg(F.first("lead").alias("lead"))
-    slots = 4 ** (turn - LEADERS + 1)
+    slots = GROWTH ** (turn - LEADERS + 1)
     todo = hit.where(~F.col("led") & (F.col("component") != F.col("biggest")))
     todo = todo.withColumn("slot", F.when(F.col("rest") <= slots, F.col("id")).otherwise(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(slots))))
     return todo.groupBy("key", "slot").agg(F.max(F.struct("pop", (-F.col("id")).alias("less"), F.struct("id", "n", "component").alias("lead"))).alias("best")).select("key", "best.lead")
 
 
-def candidates(hit: DataFrame, lead: DataFrame, small: int, threshold: float, first: bool) -> DataFrame:
-    """Distinct (a, b), a < b: pairs with the leaders in large buckets and, in the first round, all pairs of small ones.
+def candidates(hit: DataFrame, lead: DataFrame | None, small: int, threshold: float, first: bool) -> DataFrame:
+    """Distinct (a, b, ca, cb), a < b, with their components: pairs with the leaders in large buckets (with the one leader that the
+    rows of `hit` carry if `lead` is None) and, in the first round, all pairs of small ones.
 
     Pairs whose sizes alone rule out the threshold, or that are in one component already, are left out.
     """
     member = F.struct("id", "n", "component")
-    pairs = hit.drop("lead").where(F.col("size") > small).join(lead, "key").select(F.col("lead").alias("x"), member.alias("y"))
+    large = hit.where(F.col("size") > small)
+    pairs = (large if lead is None else large.drop("lead").join(lead, "key")).select(F.col("lead").alias("x"), member.alias("y"))
     if first:
         few = hit.where(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("m"))
         few = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as x, y as y))))")).alias("p")).select("p.x", "p.y")
         pairs = pairs.unionByName(few)
     ok = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n")
-    return pairs.where(ok & (F.col("x.component") != F.col("y.component"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    pairs = pairs.where(ok & (F.col("x.component") != F.col("y.component"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
 
 
 def agreeing(pairs: DataFrame, sketches: DataFrame, coordinates: int, threshold: float) -> DataFrame:
@@ -201,11 +204,11 @@ def agreeing(pairs: DataFrame, sketches: DataFrame, coordinates: int, threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-                yield b.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (4, 5))
+                yield b.select([0, 1, 2, 3]).filter(pa.array((x == y).sum(axis=1) >= least))
 
     both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ca", "cb", "sa", "sb").mapInArrow(run, "a long, b long, ca long, cb long")
 
 
 def company(keyed: DataFrame) -> DataFrame:
@@ -231,20 +234,25 @@ def units_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach the threshold, by all their shingles. Each join has a key that is unique on one side."""
+    """(a, b, ca, cb, similarity) of the pairs that reach the threshold, by all their shingles. Each join has a key that is unique on one side."""
     both = pairs.join(units.select(F.col("id").alias("b"), F.col("u").alias("ub")), "b").join(units.select(F.col("id").alias("a"), F.col("u").alias("ua")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for b in batches:
             value = []
-            for i, ua, ub in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+            for i, ua, ub in zip(b.column(0).to_pylist(), b.column(4), b.column(5), strict=True):
                 if i != last:
                     last, own = i, np.frombuffer(ua.as_buffer(), np.uint64)
                 value.append(similarity(own, np.frombuffer(ub.as_buffer(), np.uint64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(value, pa.float64())], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(value, pa.float64())], ["a", "b", "ca", "cb", "similarity"])
 
-    return both.select("a", "b", "ua", "ub").mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+    return both.select("a", "b", "ca", "cb", "ua", "ub").mapInArrow(run, "a long, b long, ca long, cb long, similarity double").where(F.col("similarity") >= threshold)
+
+
+def renamed(rows: DataFrame, step: DataFrame) -> DataFrame:
+    """The rows with the present name of each component."""
+    return rows.join(step, F.col("component") == F.col("was"), "left").withColumn("component", F.coalesce("now", "component")).drop("was", "now")
 
 
 def classes(docs: DataFrame, *, threshold: float = SIMILARITY, shingle: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
@@ -257,24 +265,34 @@ def classes(docs: DataFrame, *, threshold: float = SIMILARITY, shingle: int = SH
     reps = checkpoint(s.where("bands is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     keyed = company(reps.select("id", "n", F.explode("bands").alias("key")).distinct())
     units = units_of(docs, keyed, shingle)
-    edges, done, label = None, None, None
+    done, steps = None, []
     for turn in itertools.count():
         hit = live_buckets(keyed, small, turn == 0)
         if turn and hit.isEmpty():
             break
-        lead = checkpoint(leaders(hit, turn))
+        lead = checkpoint(leaders(hit, turn)) if turn >= LEADERS else None
         pairs = candidates(hit, lead, small, threshold, turn == 0)
-        pairs = checkpoint(pairs.join(done, ["a", "b"], "left_anti") if turn else pairs)
-        likely = checkpoint(agreeing(pairs, reps, n_bands * rows, threshold)) if turn else pairs
-        found = checkpoint(verify(likely, units, threshold).select("a", "b"))
-        edges = edges.unionByName(found) if turn else found
-        done = done.unionByName(pairs) if turn else pairs
-        label = checkpoint(components(edges))
-        was = lead.select("key", F.col("lead.id").alias("id"), F.lit(True).alias("leads"))
-        hit = hit.select("key", "id", "n", "pop", "led").join(was, ["key", "id"], "left").withColumn("led", F.col("led") | F.coalesce("leads", F.lit(False))).drop("leads")
-        keyed = checkpoint(hit.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    full = s.join(checkpoint(reps.select("f1", "f2", "n", "id")), ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("bands").isNotNull(), F.col("id")).alias("id"))
-    full = full.join(label, "id", "left").select("doc_id", F.coalesce("component", "id", "doc_id").alias("class_id"))
+        if turn:
+            pairs = agreeing(pairs, reps, n_bands * rows, threshold).join(done, ["a", "b"], "left_anti")
+        pairs = checkpoint(pairs)
+        done = done.unionByName(pairs.select("a", "b")) if turn else pairs.select("a", "b")
+        found = checkpoint(verify(pairs, units, threshold).select("ca", "cb").distinct())
+        if lead is None:
+            hit = hit.withColumn("led", F.col("led") | (F.col("id") == F.col("lead.id")))
+        else:
+            was = lead.select("key", F.col("lead.id").alias("id"), F.lit(True).alias("leads"))
+            hit = hit.join(was, ["key", "id"], "left").withColumn("led", F.col("led") | F.coalesce("leads", F.lit(False)))
+        keyed = hit.select("key", "id", "n", "pop", "led", "component")
+        if not found.isEmpty():
+            # components of the components so far, whose names are their least ids
+            steps.append(checkpoint(components(found, "ca", "cb").select(F.col("id").alias("was"), F.col("component").alias("now"))))
+            keyed = renamed(keyed, steps[-1])
+        keyed = checkpoint(keyed)
+    full = s.join(checkpoint(reps.select("f1", "f2", "n", F.col("id").alias("component"))), ["f1", "f2", "n"], "left")
+    full = full.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+    for step in steps:
+        full = renamed(full, step)
+    full = full.withColumnRenamed("component", "class_id")
     return full.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
