@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import healpix as hp
 from ..functions import pointwise as pw
 from ..operators import energies as en
 from ..operators import fields as fo
 from ..operators import processes as pr
 from ..operators import solvers, spectra
 from ..sources import fields as src
+from ..sources import samples
 from ..sources.fields import Axis, Field
 
 QUERIES: dict = {}
@@ -259,18 +261,18 @@ def ornstein_uhlenbeck(spark, sf_dir):
     return pr.ornstein_uhlenbeck(src.user_series(spark, sf_dir), "k", ["t", "id"], 0.3, 0.5, 0.1).select("k", F.round("x", 5).alias("x"))
 
 
-_MODES = "SELECT s, k, sum(v * cos(2 * pi() * j * k / 64)) AS a, -sum(v * sin(2 * pi() * j * k / 64)) AS b FROM f, range(64) t(k) WHERE s < 40 GROUP BY s, k"
+_MODES = "SELECT s, k, sum(v * cos(2 * pi() * j * k / 64)) AS a, -sum(v * sin(2 * pi() * j * k / 64)) AS b FROM f, range(64) t(k) GROUP BY s, k"
 
 
 @query(f"WITH {EMB} SELECT s, k::INT AS k, round(a + b, 6) AS v FROM ({_MODES})")
 def hartley_arrow(spark, sf_dir):
-    rows = spectra.rows_of(src.emb(spark, sf_dir).df.where("s < 40"), "s", "j")
+    rows = spectra.rows_of(src.emb(spark, sf_dir).df, "s", "j")
     return spectra.hartley(rows, "s").select("s", F.posexplode("values").alias("k", "v")).select("s", "k", r6("v").alias("v"))
 
 
 @query(f"WITH {EMB} SELECT s, least(k, 64 - k)::INT AS k, round(avg(a * a + b * b), 6) AS power FROM ({_MODES}) GROUP BY s, least(k, 64 - k)")
 def power_spectrum(spark, sf_dir):
-    rows = spectra.rows_of(src.emb(spark, sf_dir).df.where("s < 40"), "s", "j")
+    rows = spectra.rows_of(src.emb(spark, sf_dir).df, "s", "j")
     return spectra.power_spectrum(rows, "s").select("s", "k", r6("power").alias("power"))
 
 
@@ -303,3 +305,35 @@ def grid_flat_index(spark, sf_dir):
     g: Field = src.grid2d(spark, sf_dir)
     axes: tuple[Axis, ...] = g.axes
     return g.df.select(fo.flat_index(axes, [F.col("i"), F.col("j")]).alias("flat"), r6("v").alias("v"))
+
+
+#: Events are spread over a sphere by their user and hour; the centre of each event's pixel is found from its ring index.
+_PIX = "e AS (SELECT event_id, ((user_id * 7919 + event_id) % 12288)::BIGINT AS pix FROM events)"
+
+
+def _pixels(spark, sf_dir):
+    return src.table(spark, sf_dir, "events").select("event_id", F.pmod(F.col("user_id") * 7919 + F.col("event_id"), F.lit(12288)).cast("long").alias("pix"))
+
+
+@query(f"WITH {_PIX} SELECT event_id, pix, pix AS nest, pix AS ring FROM e")
+def healpix_nest_ring_roundtrip(spark, sf_dir):
+    e = _pixels(spark, sf_dir).select("event_id", "pix", hp.nest_to_ring(F.col("pix"), 32).alias("r"), hp.ring_to_nest(F.col("pix"), 32).alias("n"))
+    return e.select("event_id", "pix", hp.ring_to_nest(F.col("r"), 32).alias("nest"), hp.nest_to_ring(F.col("n"), 32).alias("ring"))
+
+
+@query(f"""WITH {_PIX}, b AS (SELECT *, CASE WHEN pix < 1984 THEN floor((1 + sqrt(1 + 2 * pix)) / 2) WHEN pix >= 10304 THEN 128 - floor((1 + sqrt(24575 - 2 * pix)) / 2) ELSE 32 + (pix - 1984) // 128 END::BIGINT AS ring FROM e),
+c AS (SELECT *, least(ring, 128 - ring, 32) AS nr, CASE WHEN ring < 32 THEN pix - 2 * ring * (ring - 1) WHEN ring > 96 THEN pix - 12288 + 2 * (128 - ring) * (129 - ring) ELSE (pix - 1984) % 128 END AS j FROM b)
+SELECT event_id, round(CASE WHEN ring < 32 THEN 1 - nr * nr / 3072.0::DOUBLE WHEN ring > 96 THEN nr * nr / 3072.0::DOUBLE - 1 ELSE (64 - ring) / 48.0::DOUBLE END, 6) AS z,
+round((j + CASE WHEN ring < 32 OR ring > 96 OR ring % 2 = 0 THEN 0.5 ELSE 0 END)::DOUBLE * pi() / (2 * nr), 6) AS phi, pix FROM c""")
+def healpix_angles(spark, sf_dir):
+    e = _pixels(spark, sf_dir).select("event_id", hp.place_to_angle(hp.ring_place(F.col("pix"), 32), 32).alias("a"))
+    e = e.select("event_id", "a", hp.cell_place(hp.angle_to_cell(F.col("a.z"), F.col("a.phi"), 32), 32).alias("p"))
+    return e.select("event_id", r6("a.z").alias("z"), r6("a.phi").alias("phi"), hp.place_to_ring(F.col("p"), 32).alias("pix"))
+
+
+@query(f"WITH {EMB}, m AS (SELECT j, avg(v) AS m FROM f GROUP BY j), r AS (SELECT s, j, m + (v - m) / 2 AS p, m - (v - m) / 2 AS q FROM f JOIN m USING (j)), u AS (SELECT j, p AS v FROM r UNION ALL SELECT j, q FROM r) SELECT j, round(avg(v), 6) + 0.0 AS mean, round(var_samp(v), 6) AS variance FROM u GROUP BY j")
+def residual_samples(spark, sf_dir):
+    f = samples.Samples(src.emb(spark, sf_dir).df, ("j",))
+    mean = f.average().withColumnRenamed("mean", "v")
+    half = samples.Samples(f.df.join(mean.withColumnRenamed("v", "m"), "j").select("s", "j", ((F.col("v") - F.col("m")) / 2).alias("v")), ("j",))
+    return samples.residual(mean, samples.mirrored(half)).stat().select("j", (r6("mean") + 0.0).alias("mean"), r6("variance").alias("variance"))
