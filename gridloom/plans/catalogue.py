@@ -9,6 +9,7 @@ from ..functions import healpix as hp
 from ..functions import pointwise as pw
 from ..operators import energies as en
 from ..operators import fields as fo
+from ..operators import inference
 from ..operators import processes as pr
 from ..operators import solvers, spectra
 from ..sources import fields as src
@@ -337,3 +338,10 @@ def residual_samples(spark, sf_dir):
     mean = f.average().withColumnRenamed("mean", "v")
     half = samples.Samples(f.df.join(mean.withColumnRenamed("v", "m"), "j").select("s", "j", ((F.col("v") - F.col("m")) / 2).alias("v")), ("j",))
     return samples.residual(mean, samples.mirrored(half)).stat().select("j", (r6("mean") + 0.0).alias("mean"), r6("variance").alias("variance"))
+
+
+@query()
+def wiener_posterior_samples(spark, sf_dir):
+    """Residuals of 16 samples around `wiener_filter`'s mean."""
+    f = src.counts_hour(spark, sf_dir)
+    return inference.residual_samples(f.df.select("i", F.lit(0.25).alias("m")), src.HOURS, 0.05, 16, seed=1, iterations=25)
