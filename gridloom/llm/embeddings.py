@@ -122,11 +122,11 @@ def _best(edges: DataFrame, k: int, most: int, threshold: float) -> DataFrame:
     return one.repartition("id").sortWithinPartitions("id", F.desc("sim"), "nbr").mapInArrow(run, "id long, nbr long, sim double")
 
 
-def start(nodes: DataFrame, dims: list[int], bits: int, trees: int, first: int) -> DataFrame:
+def start(nodes: DataFrame, bits: int, trees: int, first: int) -> DataFrame:
     """(leaf, id, dim, x): a leaf for each tree, by the signs of random projections. Large leaves are dealt out by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = {d: np.random.default_rng([17, first, d]).standard_normal((d, trees * bits)) for d in dims}
+        planes: dict[int, np.ndarray] = {}
         power = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
             dim = b.column(1).to_numpy()
@@ -134,6 +134,10 @@ def start(nodes: DataFrame, dims: list[int], bits: int, trees: int, first: int)
             for d in np.unique(dim):
                 at = pa.array(np.flatnonzero(dim == d))
                 part = b.take(at)
+                if int(d) not in planes:
+                    if len(planes) >= 64:
+                        planes.clear()
+                    planes[int(d)] = np.random.default_rng([17, first, int(d)]).standard_normal((int(d), trees * bits))
                 side = (_matrix(part.column(2)) @ planes[int(d)] > 0).reshape(-1, trees, bits)
                 code = (side * power).sum(2) + (np.arange(trees, dtype=np.int64) + 1 + first << 40)
                 rows = pa.array(np.repeat(np.arange(part.num_rows), trees))
@@ -263,11 +267,10 @@ def near_dups(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "e
     given = checkpoint(unit(vectors, vec_id, embedding).groupBy("vec_id").agg(F.min(F.struct("dim", "x")).alias("v")).select("vec_id", "v.dim", "v.x"))
     nodes = checkpoint(given.where("x is not null").groupBy("dim", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
     n = nodes.count()
-    dims = [r["dim"] for r in nodes.select("dim").distinct().limit(1000).collect()]
     bits = max(1, min(38, round(math.log2(max(2, n / LEAF)))))
     graph = label = None
     for attempt in range(tries):
-        leaves = start(nodes, dims, bits, trees, attempt * trees).repartition("leaf").sortWithinPartitions("leaf")
+        leaves = start(nodes, bits, trees, attempt * trees).repartition("leaf").sortWithinPartitions("leaf")
         found = leaves.mapInArrow(_local_join("leaf", k, -1.5), "id long, nbr long, sim double")
         graph = checkpoint(_best(found if graph is None else graph.unionByName(found), k, most, threshold))
         for _ in range(rounds):
