@@ -2,7 +2,8 @@
 
 Equal vectors are one node. The graph starts from random hyperplanes' leaves and is refined by joins of neighbours of neighbours;
 nodes whose whole list is within the threshold get longer lists. Recall is audited against brute force for a bounded sample of
-queries, and more rounds run while it is too low. Links inside a component are then counted exactly: a component is covered by
+queries, and more rounds run while it is too low. Components with a full list are then compared exactly with all nodes outside, and
+merged where there is a link. Links inside a component are counted exactly: a component is covered by
 balls of half the threshold's angle, in which all are linked, and only pairs of balls that angles leave open are compared.
 Edge cases: null, zero and non-finite vectors, and those with null components, are nodes without links; vectors of different
 lengths have no links; rows with a null id are ignored; of rows with the same id the least vector counts; empty tables give empty
@@ -26,6 +27,8 @@ K, K_MOST, LEAF, TREES, ROUNDS = 8, 32, 48, 6, 2
 AUDIT, RECALL = 256, 0.95
 #: Vectors in a block that is compared with another.
 CHUNK = 256
+#: Bytes of vectors that the driver holds and shares at a time when nodes are compared with all others.
+SLICE = 1 << 24
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -192,6 +195,85 @@ def audit(graph: DataFrame, nodes: DataFrame, threshold: float, queries: int) ->
     return hit / n if n else 1.0
 
 
+def arranged(ids: np.ndarray, component: np.ndarray, m: np.ndarray) -> tuple:
+    """(component, vectors, centres, radii, bounds, pure) of vectors in groups around some of them; pure: a group has one component."""
+    pivots = m[np.argsort(ids, kind="stable")[::CHUNK]]
+    near = np.concatenate([(m[k : k + 4096] @ pivots.T).argmax(1) for k in range(0, len(m), 4096)])
+    order = np.lexsort((component, near))
+    near, component, m = near[order], component[order], m[order]
+    # a group ends where the next pivot's begins; large ones are cut, each part with its own radius
+    starts = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+    bounds = np.array([k for lo, hi in zip(starts, [*starts[1:], len(m)], strict=True) for k in range(lo, hi, 4 * CHUNK)] + [len(m)])
+    centres = pivots[near[bounds[:-1]]]
+    angle = np.arccos(np.clip((m * pivots[near]).sum(1), -1, 1))
+    radii = np.maximum.reduceat(angle, bounds[:-1])
+    pure = np.minimum.reduceat(component, bounds[:-1]) == np.maximum.reduceat(component, bounds[:-1])
+    return component, m, centres, radii, bounds, pure
+
+
+def across(asked: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): distinct pairs of components between which a node of `asked` has a link to one of `nodes`, by exact comparison.
+
+    Both have (id, dim, x, component). Slices of `asked` of bounded size meet all nodes where those lie; a group of a slice is compared
+    with the nodes that angles to its centre leave open and that are not all of its own component.
+    """
+    spark = nodes.sparkSession
+    total = asked.agg(F.coalesce(F.sum(F.length("x")), F.lit(0))).first()[0]
+    slices = max(1, math.ceil(total / SLICE))
+    limit = math.acos(threshold)
+    out = None
+    for k in range(slices if total else 0):
+        t = asked.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == k).select("id", "dim", "x", "component").toArrow().combine_chunks()
+        dim = t.column("dim").to_numpy()
+        by = {}
+        for d in np.unique(dim):
+            own = t.filter(pa.array(dim == d))
+            by[int(d)] = arranged(own.column("id").to_numpy(), own.column("component").to_numpy(), _matrix(own.column("x")))
+        shared = spark.sparkContext.broadcast(by)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple[int, int]] = set()
+            for b in batches:
+                new: set[tuple[int, int]] = set()
+                dim, named = b.column(0).to_numpy(), b.column(2).to_numpy()
+                for d, (component, m, centres, radii, bounds, pure) in shared.value.items():
+                    at = np.flatnonzero(dim == d)
+                    x, own = _matrix(b.column(1).take(pa.array(at))), named[at]
+                    if not len(at):
+                        continue
+                    open_ = np.arccos(np.clip(x @ centres.T, -1, 1)) <= radii + limit + 1e-6
+                    for g, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                        rows = np.flatnonzero(open_[:, g] & (own != component[lo]) if pure[g] else open_[:, g])
+                        if not len(rows):
+                            continue
+                        linked = (x[rows] @ m[lo:hi].T) >= threshold
+                        if linked.any():
+                            i, j = np.nonzero(linked & (own[rows][:, None] != component[lo:hi]))
+                            u, v = own[rows][i], component[lo:hi][j]
+                            pairs = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
+                            new.update(map(tuple, pairs.tolist()))
+                new -= seen
+                if len(seen) < 100_000:
+                    seen |= new
+                rows = sorted(new)
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+        found = checkpoint(nodes.select("dim", "x", "component").mapInArrow(run, "a long, b long").distinct())
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "a long, b long")
+
+
+def merged(label: DataFrame, nodes: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """label (id, component) after the components of the ids in `full` are merged with all that they link to."""
+    named = checkpoint(nodes.select("id", "dim", "x").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    asked = named.join(named.join(full, "id", "left_semi").select("component").distinct(), "component", "left_semi")
+    pairs = across(checkpoint(asked), named, threshold)
+    joined = components(pairs).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    moved = named.select("id", "component").join(joined, "component", "left").join(label.select("id", F.lit(True).alias("linked")), "id", "left")
+    return checkpoint(moved.where("linked or to is not null").select("id", F.coalesce("to", "component").alias("component")))
+
+
 def cover(members: DataFrame, threshold: float, rounds: int = 12) -> DataFrame:
     """(component, id, dim, x, weight, ball, angle): balls around the members of least id, inside half the threshold's angle.
 
@@ -278,6 +360,8 @@ def near_dups(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "e
         label = checkpoint(components(graph.where(F.col("sim") >= threshold), "id", "nbr"))
         if audit(label, nodes, threshold, audit_queries) >= recall:
             break
+    full = graph.where(F.col("sim") >= threshold).groupBy("id").count().where(F.col("count") >= most).select("id")
+    label = merged(label, nodes, full, threshold)
     members = checkpoint(label.join(nodes, "id").select("component", "id", "dim", "x", "weight"))
     counts = count_links(members, threshold)
     named = nodes.select("dim", "x", "id", "weight").join(label, "id", "left").join(counts, "id", "left")

@@ -149,6 +149,28 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_dups(df.limit(0)).count() == 0
 
 
+def linked_exactly(rows):
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    ids = [i for i, _ in rows]
+    return classes_of(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(near)), strict=True)]), dict(zip(ids, near.sum(1).tolist(), strict=True))
+
+
+def test_embeddings_link_groups_beyond_full_lists(spark):
+    """Two groups whose members all have more partners in their own than a list holds, and links to the other."""
+    rng = np.random.default_rng(11)
+    a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    centres = a, 0.97 * a + np.sqrt(1 - 0.97**2) * b
+    rows = [(2 * k + g, (centres[g] + rng.standard_normal(64) * 0.0125).tolist()) for g in (0, 1) for k in range(200)]
+    rows += [(1000 + k, rng.standard_normal(64).tolist()) for k in range(100)]
+    want, n = linked_exactly(rows)
+    assert len(set(want.values())) == 101
+    got = {r["vec_id"]: r for r in embeddings.near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == want and {i: r["n_links"] for i, r in got.items()} == n
+
+
 def test_pipeline(spark, tiny):
     import corpus_pipeline
 
