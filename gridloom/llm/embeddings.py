@@ -1,9 +1,9 @@
 """Embedding near-dedup: NN-descent on a neighbour graph, links at a cosine threshold, components, exact link counts.
 
 Equal vectors are one node. The graph starts from random hyperplanes' leaves and is refined by joins of neighbours of neighbours;
-nodes whose whole list is within the threshold get longer lists. Recall is audited against brute force for a bounded sample of
-queries, and more rounds run while it is too low. Components with a full list are then compared exactly with all nodes outside, and
-merged where there is a link. Links inside a component are counted exactly: a component is covered by
+nodes whose whole list is within the threshold get longer lists. What these lists find is a first answer only: all nodes are then
+compared exactly with the nodes of other components, but for those that angles or a shared component rule out, and components are
+merged where there is a link, so none is lost. Links inside a component are counted exactly: a component is covered by
 balls of half the threshold's angle, in which all are linked, and only pairs of balls that angles leave open are compared.
 Edge cases: null, zero and non-finite vectors, and those with null components, are nodes without links; vectors of different
 lengths have no links; rows with a null id are ignored; of rows with the same id the least vector counts; empty tables give empty
@@ -24,7 +24,6 @@ from .common import checkpoint, components, table
 
 THRESHOLD = 0.95
 K, K_MOST, LEAF, TREES, ROUNDS = 8, 32, 48, 6, 2
-AUDIT, RECALL = 256, 0.95
 #: Vectors in a block that is compared with another.
 CHUNK = 256
 #: Bytes of vectors that the driver holds and shares at a time when nodes are compared with all others.
@@ -125,7 +124,7 @@ def _best(edges: DataFrame, k: int, most: int, threshold: float) -> DataFrame:
     return one.repartition("id").sortWithinPartitions("id", F.desc("sim"), "nbr").mapInArrow(run, "id long, nbr long, sim double")
 
 
-def start(nodes: DataFrame, bits: int, trees: int, first: int) -> DataFrame:
+def start(nodes: DataFrame, bits: int, trees: int) -> DataFrame:
     """(leaf, id, dim, x): a leaf for each tree, by the signs of random projections. Large leaves are dealt out by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,9 +139,9 @@ def start(nodes: DataFrame, bits: int, trees: int, first: int) -> DataFrame:
                 if int(d) not in planes:
                     if len(planes) >= 64:
                         planes.clear()
-                    planes[int(d)] = np.random.default_rng([17, first, int(d)]).standard_normal((int(d), trees * bits))
+                    planes[int(d)] = np.random.default_rng([17, 0, int(d)]).standard_normal((int(d), trees * bits))
                 side = (_matrix(part.column(2)) @ planes[int(d)] > 0).reshape(-1, trees, bits)
-                code = (side * power).sum(2) + (np.arange(trees, dtype=np.int64) + 1 + first << 40)
+                code = (side * power).sum(2) + (np.arange(trees, dtype=np.int64) + 1 << 40)
                 rows = pa.array(np.repeat(np.arange(part.num_rows), trees))
                 out.append(pa.RecordBatch.from_arrays([pa.array(code.ravel()), *(c.take(rows) for c in part.columns)], ["leaf", "id", "dim", "x"]))
             yield from out
@@ -165,36 +164,6 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, most: int, threshold: flo
     return checkpoint(_best(graph.unionByName(found), k, most, threshold))
 
 
-def audit(graph: DataFrame, nodes: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the links of at most `queries` nodes, those of least hash, that the graph's components hold."""
-    chosen = nodes.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "dim", "x").collect()
-    if not chosen:
-        return 1.0
-    by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for d in {r["dim"] for r in chosen}:
-        own = [r for r in chosen if r["dim"] == d]
-        by[d] = np.array([r["id"] for r in own]), np.array([np.frombuffer(r["x"]) for r in own])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = [], []
-            dim, ids = b.column(1).to_numpy(), b.column(0).to_numpy()
-            for d, (q, m) in by.items():
-                at = np.flatnonzero(dim == d)
-                if len(at):
-                    i, j = np.nonzero(_matrix(b.column(2).take(pa.array(at))) @ m.T >= threshold)
-                    other = ids[at][i] != q[j]
-                    a.append(q[j][other])
-                    c.append(ids[at][i][other])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z) if z else [], pa.int64()) for z in (a, c)], ["a", "b"])
-
-    true = nodes.select("id", "dim", "x").mapInArrow(run, "a long, b long")
-    part = graph.select("id", "component")
-    true = true.join(part.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(part.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    n, hit = true.agg(F.count("*"), F.coalesce(F.sum((F.col("ca") == F.col("cb")).cast("int")), F.lit(0))).first()
-    return hit / n if n else 1.0
-
-
 def arranged(ids: np.ndarray, component: np.ndarray, m: np.ndarray) -> tuple:
     """(component, vectors, centres, radii, bounds, pure) of vectors in groups around some of them; pure: a group has one component."""
     pivots = m[np.argsort(ids, kind="stable")[::CHUNK]]
@@ -264,11 +233,10 @@ def across(asked: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "a long, b long")
 
 
-def merged(label: DataFrame, nodes: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
-    """label (id, component) after the components of the ids in `full` are merged with all that they link to."""
+def merged(label: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """label (id, component) after components and single nodes are merged with all that they link to."""
     named = checkpoint(nodes.select("id", "dim", "x").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    asked = named.join(named.join(full, "id", "left_semi").select("component").distinct(), "component", "left_semi")
-    pairs = across(checkpoint(asked), named, threshold)
+    pairs = across(named, named, threshold)
     joined = components(pairs).select(F.col("id").alias("component"), F.col("component").alias("to"))
     moved = named.select("id", "component").join(joined, "component", "left").join(label.select("id", F.lit(True).alias("linked")), "id", "left")
     return checkpoint(moved.where("linked or to is not null").select("id", F.coalesce("to", "component").alias("component")))
@@ -344,24 +312,17 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     return inside.unionByName(whole).unionByName(across).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_dups(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, k: int = K, most: int = K_MOST, trees: int = TREES, rounds: int = ROUNDS, audit_queries: int = AUDIT, recall: float = RECALL, tries: int = 3) -> DataFrame:
+def near_dups(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, k: int = K, most: int = K_MOST, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
     """vec_id, n_links, component_id, kept for each distinct id."""
     given = checkpoint(unit(vectors, vec_id, embedding).groupBy("vec_id").agg(F.min(F.struct("dim", "x")).alias("v")).select("vec_id", "v.dim", "v.x"))
     nodes = checkpoint(given.where("x is not null").groupBy("dim", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
     n = nodes.count()
     bits = max(1, min(38, round(math.log2(max(2, n / LEAF)))))
-    graph = label = None
-    for attempt in range(tries):
-        leaves = start(nodes, bits, trees, attempt * trees).repartition("leaf").sortWithinPartitions("leaf")
-        found = leaves.mapInArrow(_local_join("leaf", k, -1.5), "id long, nbr long, sim double")
-        graph = checkpoint(_best(found if graph is None else graph.unionByName(found), k, most, threshold))
-        for _ in range(rounds):
-            graph = refine(graph, nodes, k, most, threshold)
-        label = checkpoint(components(graph.where(F.col("sim") >= threshold), "id", "nbr"))
-        if audit(label, nodes, threshold, audit_queries) >= recall:
-            break
-    full = graph.where(F.col("sim") >= threshold).groupBy("id").count().where(F.col("count") >= most).select("id")
-    label = merged(label, nodes, full, threshold)
+    leaves = start(nodes, bits, trees).repartition("leaf").sortWithinPartitions("leaf")
+    graph = checkpoint(_best(leaves.mapInArrow(_local_join("leaf", k, -1.5), "id long, nbr long, sim double"), k, most, threshold))
+    for _ in range(rounds):
+        graph = refine(graph, nodes, k, most, threshold)
+    label = merged(checkpoint(components(graph.where(F.col("sim") >= threshold), "id", "nbr")), nodes, threshold)
     members = checkpoint(label.join(nodes, "id").select("component", "id", "dim", "x", "weight"))
     counts = count_links(members, threshold)
     named = nodes.select("dim", "x", "id", "weight").join(label, "id", "left").join(counts, "id", "left")

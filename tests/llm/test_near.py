@@ -171,6 +171,21 @@ def test_embeddings_link_groups_beyond_full_lists(spark):
     assert {i: r["component_id"] for i, r in got.items()} == want and {i: r["n_links"] for i, r in got.items()} == n
 
 
+def test_embeddings_lose_no_isolated_pair(spark):
+    """Pairs just above the threshold among random vectors, of which two rounds from six trees miss some."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(0, 1000, 2):
+        side = x[k + 1] - (x[k + 1] @ x[k]) * x[k]
+        x[k + 1] = 0.952 * x[k] + np.sqrt(1 - 0.952**2) * side / np.linalg.norm(side)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    want, n = linked_exactly(rows)
+    assert sum(n.values()) == 1000
+    got = {r["vec_id"]: r for r in embeddings.near_dups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == want and {i: r["n_links"] for i, r in got.items()} == n
+
+
 def test_pipeline(spark, tiny):
     import corpus_pipeline
 
