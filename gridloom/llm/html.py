@@ -2,7 +2,8 @@
 
 A page becomes a tree; blocks that are no article (menus, headers, footers, sidebars, notices, adverts, forms, comments) are cut
 off by tag, role and name; the rest is rated by link-adjusted characters per tag. The node with the largest sum of its children's
-densities is the article, and the least density on the path from it to the body is the threshold for what it keeps.
+densities is the article, and the least density on the path from it to the body is the threshold for what it keeps. Beside it, in page
+order, the node of the largest sum in every other branch that reaches the threshold is kept; where pages mark articles, all of them.
 Edge cases: null html is empty and gives an empty text; broken markup is read as far as it goes; repeated rows give one result
 each; empty tables give empty results; other columns are ignored.
 """
@@ -40,7 +41,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
 
     def __init__(self, tag: str, parent, dropped: bool = False):
         self.tag, self.parent, self.dropped, self.kids = tag, parent, dropped, []
@@ -151,8 +152,13 @@ def rate(root: Node) -> tuple[float, float]:
         plain = max(c - node.link_chars, 1)
         base = math.log(c / plain * node.link_chars + link / chars * c + math.e)
         node.density = c / t * (math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1.0001 else math.log(max(c / lc * t / lt, 1.0))) if c else 0.0
-    for node in order:
-        node.total = sum(k.density for k in node.kids if isinstance(k, Node) and not k.dropped)
+    for node in reversed(order):
+        kids = [k for k in node.kids if isinstance(k, Node) and not k.dropped]
+        node.total = sum(k.density for k in kids)
+        node.peak = node
+        for k in kids:
+            if k.peak.total > node.peak.total:
+                node.peak = k.peak
     return link, chars
 
 
@@ -196,36 +202,64 @@ def blocks(node: Node, threshold: float, out: list[str]) -> None:
     flush()
 
 
+def plain(node: Node) -> float:
+    """Characters outside links per tag. Unlike the density it does not grow with a node's size."""
+    return (node.chars - node.link_chars) / max(node.tags, 1)
+
+
+def least(node: Node, body: Node, of) -> float:
+    """The least value on the path from node to the body."""
+    low = of(node)
+    while node is not body and node.parent is not None:
+        node = node.parent
+        low = min(low, of(node))
+    return low
+
+
+def marked(top: Node, tags: tuple[str, ...]) -> list[Node]:
+    """The outermost nodes of these tags under top, in page order."""
+    out, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        if node.tag in tags:
+            out.append(node)
+        else:
+            stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.dropped)
+    return out
+
+
+def branches(top: Node, dense) -> list[Node]:
+    """The node of the largest sum under top and those of all `dense` branches beside the path to it, in page order."""
+    out, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        if node.peak is node:
+            out.append(node)
+            continue
+        kids = [k for k in node.kids if isinstance(k, Node) and not k.dropped]
+        stack.extend(k for k in reversed(kids) if k.peak is node.peak or k.tag in BLOCK and k.chars and dense(k) and k.link_chars <= 0.5 * k.chars)
+    return out
+
+
 def extract(page: str) -> str:
     root = parse(page)
     body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
     rate(body)
-    best, named, stack = body, None, [body]
-    while stack:
-        node = stack.pop()
-        if node.total > best.total:
-            best = node
-        if node.tag == "article" and node.chars and (named is None or node.chars > named.chars):
-            named = node
-        stack.extend(k for k in node.kids if isinstance(k, Node) and not k.dropped)
-    # a subtree inside or around the only article is the article
-    node = best
+    best = node = body.peak
     while node is not None:
         if node.tag in ("article", "main"):
             best = node
         node = node.parent
-    if named is not None and best.tag not in ("article", "main"):
-        node = named
-        while node is not None and node is not best:
-            node = node.parent
-        if node is best:
-            best = named
-    threshold, node = best.density, best
-    while node is not None and node is not body.parent:
-        threshold = min(threshold, node.density)
-        node = node.parent
+    threshold, bare = least(best, body, lambda k: k.density), least(best, body, plain)
+    # a short part has a smaller density than a long one of the same paragraphs
+    dense = lambda k: k.density >= threshold or plain(k) >= bare
+    if best.tag in ("article", "main"):
+        chosen = [k for k in marked(body, ("article", "main")) if k is best or k.chars and dense(k)]
+    else:
+        chosen = [k for k in marked(best, ("article",)) if k.chars] or branches(body, dense)
     out: list[str] = []
-    blocks(best, threshold, out)
+    for node in chosen:
+        blocks(node, min(threshold, least(node, body, lambda k: k.density)), out)
     return "\n\n".join(out)
 
 

@@ -60,6 +60,19 @@ def test_html(page, want):
     assert html.extract(page) == want
 
 
+def sections(*sizes, tag="section"):
+    """The page and its text; paragraphs of 400 characters."""
+    texts = [[f"{k}-{i} ".ljust(399, "x") + "." for i in range(n)] for k, n in enumerate(sizes)]
+    page = "".join(f"<{tag}>" + "".join(f"<p>{p}</p>" for p in own) + f"</{tag}>" for own in texts)
+    return f"<body><nav><a href=/>menu</a></nav><div>{page}</div><footer>f</footer></body>", "\n\n".join(p for own in texts for p in own)
+
+
+@pytest.mark.parametrize("sizes,tag", [((5, 5, 5), "section"), ((8, 3, 3), "section"), ((3, 8, 3), "section"), ((5, 5, 5), "article"), ((8, 3, 3), "article")])
+def test_html_keeps_all_parts_of_an_article(sizes, tag):
+    page, want = sections(*sizes, tag=tag)
+    assert html.extract(page) == want
+
+
 def article(page):
     body = re.search(r"(?s)<article>(.*?)</article>", page)[1]
     out = []
