@@ -1,7 +1,7 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree; blocks that are no article (menus, headers, footers, sidebars, notices, adverts, forms, comments) are cut
-off by tag, role and name; the rest is rated by link-adjusted characters per tag. The node with the largest sum of its children's
+off by tag, role and name (a name that is only part of a longer one cuts off what is mostly links); the rest is rated by link-adjusted characters per tag. The node with the largest sum of its children's
 densities is the article, and the least density on the path from it to the body is the threshold for what it keeps. Beside it, in page
 order, the node of the largest sum in every other branch that reaches the threshold is kept; where pages mark articles, all of them.
 Edge cases: null html is empty and gives an empty text; broken markup is read as far as it goes; repeated rows give one result
@@ -30,10 +30,18 @@ BLOCK = frozenset(
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("table td th caption button object html body".split())
 #: Words in class, id or role that mark what is not the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverts|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|cookies?|consent|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|responses|complementary|contentinfo|search|toolbar|pagination|pager|skip|legal|copyright)(?=$|[\s_-])",
+WORDS = r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|cookies?|consent|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|responses|complementary|contentinfo|search|toolbar|pagination|pager|skip|legal|copyright"
+#: As a whole value or in a compound known for it they do; beside a hyphen or underscore they also occur in names of an article's parts.
+CERTAIN = re.compile(
+    rf"(?:{WORDS}"
+    r"|(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|footer|sidebar|cookies?|consent|newsletter|login|signup|share|sharing|comments?|toolbar|pagination)[-_](?:banner|notice|bar|box|popup|modal|overlay|container|wrapper|inner|widget|menu|links?|list|buttons?|icons?|form|area|block|slot|unit|panel|message)"
+    r"|(?:site|global|top|bottom|left|right|primary|secondary)[-_](?:header|footer|nav\w*|menu|banner|sidebar|masthead|toolbar)"
+    r"|social[-_](?:links|icons|buttons|share|sharing|media)|related[-_](?:posts|articles|stories|links)|search[-_](?:form|box|bar)|skip[-_]links?)",
     re.I,
 )
+NOISE = re.compile(rf"(?:^|[\s_-])(?:{WORDS})(?=$|[\s_-])", re.I)
+#: What names never cut off.
+NAMED = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
 KEEP = frozenset(("article", "main", "body", "html"))
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -47,21 +55,24 @@ class Node:
         self.tag, self.parent, self.dropped, self.kids = tag, parent, dropped, []
 
 
-def noisy(tag: str, attributes: str, inside: bool) -> bool:
-    """inside: within an article, whose own header is kept."""
+def noisy(tag: str, attributes: str, inside: bool) -> bool | None:
+    """inside: within an article, whose own header is kept. None: the name is in doubt, and links decide."""
     if tag in DROPPED:
         return True
     if tag == "header":
         return not inside
     if not attributes or tag in KEEP:
         return False
+    doubt = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id", "role") and NOISE.search(value):
-            return True
-    return False
+        if name in ("class", "id", "role") and tag not in NAMED and NOISE.search(value):
+            if any(CERTAIN.fullmatch(v) for v in value.split()):
+                return True
+            doubt = True
+    return None if doubt else False
 
 
 def parse(page: str) -> Node:
@@ -132,6 +143,18 @@ def parse(page: str) -> Node:
     return root
 
 
+def cut_doubtful(root: Node) -> bool:
+    """Cuts off the nodes of doubtful names that are mostly links, after `rate`; whether there were any."""
+    found, stack = False, [root]
+    while stack:
+        node = stack.pop()
+        if node.dropped is None and node.link_chars > 0.5 * node.chars:
+            node.dropped = found = True
+            continue
+        stack.extend(k for k in node.kids if isinstance(k, Node) and not k.dropped)
+    return found
+
+
 def rate(root: Node) -> tuple[float, float]:
     """Sets the counts of every kept node; returns the link characters and characters of the body."""
     order, stack = [], [root]
@@ -245,6 +268,8 @@ def extract(page: str) -> str:
     root = parse(page)
     body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
     rate(body)
+    if cut_doubtful(body):
+        rate(body)
     best = node = body.peak
     while node is not None:
         if node.tag in ("article", "main"):

@@ -73,6 +73,21 @@ def test_html_keeps_all_parts_of_an_article(sizes, tag):
     assert html.extract(page) == want
 
 
+@pytest.mark.parametrize("tag,name", [("h2", 'id="search-algorithms"'), ("section", 'id="legal-status"'), ("div", 'class="social-history"'), ("section", 'id="related-work"'), ("h2", 'class="section-header"'), ("p", 'class="notice"'), ("div", 'class="chapter section-header"')])
+def test_html_names_of_parts_do_not_cut_them(tag, name):
+    text = "Words of the part that stay. " * 8
+    page = f"<body><article><h1>Title</h1><p>{text}</p><{tag} {name}>{text}</{tag}><p>{text}</p></article></body>"
+    assert html.extract(page) == "\n\n".join(["Title", *[text.strip()] * 3])
+
+
+@pytest.mark.parametrize("name", ['class="ad"', 'class="box sidebar"', 'class="cookie-banner"', 'id="share-buttons"', 'class="related-posts"', 'role="complementary"'])
+def test_html_names_of_noise_cut_it(name):
+    text = "Words of the part that stay. " * 8
+    assert html.extract(f"<body><article><p>{text}</p><div {name}>Buy this.</div></article></body>") == text.strip()
+    links = "<a href=/x>more of it</a> " * 5
+    assert html.extract(f'<body><article><p>{text}</p><div class="more-related-things">{links}</div></article></body>') == text.strip()
+
+
 def article(page):
     body = re.search(r"(?s)<article>(.*?)</article>", page)[1]
     out = []
