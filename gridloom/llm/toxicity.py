@@ -95,8 +95,11 @@ class Decoder:
         self.model, self.keep = model.tolist(), keep
         self.code = {c: k + 2 for k, c in enumerate(LETTERS)}
 
-    def decode(self, token: str) -> list[str]:
-        """The likeliest words that the token can stand for, best first. States are the last two letters."""
+    def decode(self, token: str, borders: bool = False) -> list[str]:
+        """The likeliest words that the token can stand for, best first. States are the last two letters.
+
+        borders: separators can also end a word, and a reading is several words with spaces.
+        """
         look, drop, hide, absorb = COSTS
         states: dict[tuple[int, int, str], list[tuple[float, str]]] = {(0, 0, ""): [(0.0, "")]}
         for c in token:
@@ -118,6 +121,9 @@ class Decoder:
                         put((a, b, last), [(s - absorb - cost, w) for s, w in paths])
                 if c in DROPPABLE:
                     put((a, b, last), [(s - drop, w) for s, w in paths])
+                    if borders and b:
+                        gain = self.model[a][b][0]
+                        put((0, 0, ""), [(s + gain, w + " ") for s, w in paths])
                 if c in "*#":
                     for x, k in self.code.items():
                         gain = self.model[a][b][k] - hide
@@ -131,6 +137,11 @@ class Decoder:
         return list(dict.fromkeys(w for _, w in done))[: 2 * self.keep]
 
 
+def pieces(text: str) -> list[str]:
+    """Pieces of twice LONGEST characters; what lies across the end of one is whole in the next if it is not above LONGEST."""
+    return [text[k : k + 2 * LONGEST] for k in range(0, max(len(text) - LONGEST, 1), LONGEST)]
+
+
 def suspicious(core: str) -> bool:
     """Letters mixed with what can stand for letters, or a letter three times in a row."""
     if core.isalpha():
@@ -163,8 +174,10 @@ class Reader:
         edge = token.strip(".,;:?%&#*\"")
         for c in {core, edge} if not ROW.search(edge) else {core}:
             if 3 <= len(c) and suspicious(c):
-                for k in range(0, len(c), LONGEST):
-                    out.update(self.decoder.decode(c[k : k + LONGEST]))
+                for part in pieces(c):
+                    out.update(self.decoder.decode(part))
+                    if len(c) > len(part):
+                        out.update(w for r in self.decoder.decode(part, borders=True) for w in r.split())
         return out
 
     def token(self, token: str):
@@ -183,10 +196,11 @@ class Reader:
                 out += v
         if len(low) > 6 and (spaced := SPACED.findall(low)):
             for s in set(spaced):
-                for k in range(0, len(s), 2 * LONGEST):
-                    for w in self.decoder.decode(s[k : k + 2 * LONGEST]):
-                        if (v := self.of(w)) is not None:
-                            out.append(v)
+                words: set[str] = set()
+                for part in pieces(s):
+                    words.update(self.decoder.decode(part))
+                    words.update(w for r in self.decoder.decode(part, borders=True) for w in r.split())
+                out += [v for w in sorted(words) if (v := self.of(w)) is not None]
         return out
 
 

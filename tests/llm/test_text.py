@@ -192,6 +192,17 @@ def test_decoder(token, word):
     assert word in trained_decoder().decode(token)
 
 
+@pytest.mark.parametrize("text,word", [("such a m o r o n here", "moron"), ("y o u a r e a n i d i o t", "idiot"), (" ".join("the" * 15 + "moron" + "the" * 5), "moron"), ("i d i o t", "idiot")])
+def test_spaced_words_after_others(text, word):
+    counts = np.zeros((64, 64, 64))
+    code = {c: k + 2 for k, c in enumerate(toxicity.LETTERS)}
+    for w in ["idiot", "moron", "such", "a", "here", "you", "are", "an", "the", "the", "and", "other"] * 40:
+        c = [0, 0, *(code[x] for x in w), 0]
+        for x in zip(c, c[1:], c[2:], strict=False):
+            counts[x] += 1
+    assert word in toxicity.Reader(toxicity.Decoder(toxicity.language_model(counts)), lambda w: w).read(text)
+
+
 def test_letter_counts(spark):
     texts = ["The the", None, "", "é9x", "ab" * 10]
     got = toxicity.letter_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
