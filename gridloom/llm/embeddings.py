@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, table
+from .common import checkpoint, components, runs_of, table
 
 THRESHOLD = 0.95
 K, K_MOST, LEAF, TREES, ROUNDS = 8, 32, 48, 6, 2
@@ -55,28 +55,11 @@ def unit(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return src.mapInArrow(run, "vec_id long, dim int, x binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of equal keys of a sorted partition, as tables of whole runs."""
-    held: pa.Table | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        k = held.column(key).to_numpy()
-        cut = int(np.searchsorted(k, k[-1], "left")) if np.all(k[:-1] <= k[1:]) else len(k)
-        if cut:
-            yield held.slice(0, cut)
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield held
-
-
 def _local_join(key: str, k_out: int, floor: float):
     """For each run of a key: the cosines of its members with each other; each member's best `k_out`, as (id, nbr, sim)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, key):
+        for t in runs_of(batches, key):
             k = t.column(key).to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
             ids, dim, most = t.column("id").to_numpy(), t.column("dim").to_numpy(), t.column("most").to_numpy()

@@ -93,8 +93,53 @@ def test_large_buckets_lose_no_link(spark):
             v[at] = f"y{k}-{at}"
         rows.append((1000 + k, " ".join(v)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(df, small=2).collect()}
-    assert got == brute(rows)
+    want = brute(rows)
+    for most in (4, 256):  # long lists are dealt with in several levels
+        assert {r["doc_id"]: r["class_id"] for r in minhash.classes(df, small=2, most=most).collect()} == want
+
+
+def family(n, rng):
+    """Copies of one text of which about half link with it and the rest with nothing, or now and then with another copy."""
+    base = [f"b{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(n):
+        v = list(base) if k % 10 or not rows else rows[rng.randrange(len(rows))][1].split()
+        for at in rng.sample(range(200), rng.randrange(1, 7)):
+            v[at] = f"e{k}-{at}"
+        rows.append((k, " ".join(v)))
+    return rows
+
+
+def test_work_grows_in_proportion_to_a_group(spark, monkeypatch):
+    """What each step writes for a group of near copies grows with the group, not with its square; no link is lost."""
+    made = []
+    for n in (200, 400):
+        rows = family(n, random.Random(n))
+        written = []
+        original = common.checkpoint
+
+        def counting(df, original=original, written=written):
+            out = original(df)
+            written.append(out.count())
+            return out
+
+        monkeypatch.setattr(minhash, "checkpoint", counting)
+        got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        monkeypatch.setattr(minhash, "checkpoint", original)
+        want = brute(rows)
+        assert sum(got[k] != want[k] for k in want) <= 0.01 * n
+        made.append(max(written))
+    assert made[1] <= 2.6 * made[0]
+
+
+def test_checkpoints_are_deleted(spark):
+    t = common.checkpoint(spark.range(5))
+    path = t._written
+    import os
+
+    assert os.path.exists(path)
+    common.forget(t, None)
+    assert not os.path.exists(path)
 
 
 def test_minhash_against_brute_force(spark):
