@@ -3,8 +3,10 @@
 Each block of documents is packed where it lies, so nothing is shuffled and memory is bounded by the block. Whole chunks of the
 capacity need no company and become sequences at once; what is left is a vector (tokens, 1 segment, loss-bearing tokens), and a bin
 takes, of all that fit, the vector with the largest dot product with its remaining room. A gap that nothing fits is closed by a
-cut where `cut` allows it. Edge cases: a null or empty text has only the closing id; empty tables give empty results; repeated rows
-are packed each; other columns are ignored. Sequence ids are unique, not dense.
+cut where `cut` allows it. Strings of a tokenizer's added tokens in a text are those tokens, as the tokenizer reads them.
+Edge cases: a null or empty text has only the closing id; a very long text becomes many whole sequences; of equal products the longer
+piece is taken, then the first; empty tables give empty results; repeated rows are packed each; other columns are ignored; limits
+below 1 are refused. Sequence ids are unique, not dense.
 """
 
 from __future__ import annotations
@@ -30,16 +32,23 @@ def encoder(path: str):
     import public_tokenizers
     import tiktoken
 
+    added: dict[str, int] = {}
     if path.endswith(".tiktoken"):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     else:
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
+        vocab, added = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(byte[c] for c in token): k for token, k in vocab.items() if not (token.startswith("<|") and token.endswith("|>"))}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks = {bytes(byte[c] for c in token): k for token, k in vocab.items() if token not in added}
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+    def encode(text: str) -> list[int]:
+        return coding.encode(text, allowed_special="all") if any(a in text for a in added) else coding.encode_ordinary(text)
+
+    return encode
 
 
 class Bins:
@@ -55,54 +64,62 @@ class Bins:
         classes: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         for piece, start, tokens, share in items:
             classes.setdefault((tokens, int(round(tokens * share))), []).append((piece, start, share))
-        while classes:
-            room = np.array([self.capacity, self.segments, self.loss], float)
-            full = room.copy()
-            keys = list(classes)
-            vectors = np.array([(t, 1, x) for t, x in keys], float)
-            index = {k: i for i, k in enumerate(keys)}
-            left = np.array([len(classes[k]) for k in keys])
-            offset, sequence = 0, self.n
+        limits = np.array([self.capacity, self.segments, self.loss], float)
+        keys = list(classes)
+        index = {k: i for i, k in enumerate(keys)}
+        # cutting adds classes: room for one a piece
+        size = len(keys) + sum(map(len, classes.values())) if self.cut else len(keys)
+        vectors, left = np.zeros((size, 3)), np.zeros(size, np.int64)
+        vectors[: len(keys)] = [(t, 1, x) for t, x in keys]
+        left[: len(keys)] = [len(classes[k]) for k in keys]
+        scaled = vectors / limits
+
+        def take(i: int) -> tuple[int, int, float]:
+            left[i] -= 1
+            return classes[keys[i]].pop()
+
+        remaining = int(left.sum())
+        while remaining:
+            n = len(keys)
+            room, offset, sequence = limits.copy(), 0, self.n
             self.n += 1
-            while room[0] > 0 and room[1] > 0:
-                fits = (left > 0) & (vectors <= room).all(axis=1)
-                if fits.any():
-                    # room and vectors as shares of the limits; of equal products the longer piece
-                    worth = np.where(fits, (vectors / full) @ (room / full) + vectors[:, 0] * 1e-9, -1.0)
-                    i = int(worth.argmax())
-                    t, x = keys[i]
-                    piece, start, _ = classes[keys[i]].pop()
-                    left[i] -= 1
-                    if not left[i]:
-                        del classes[keys[i]]
-                    self.out.append((piece, start, t, sequence, offset))
+            while room[0] > 0 and room[1] > 0 and remaining:
+                fits = (left[:n] > 0) & (vectors[:n, 0] <= room[0]) & (vectors[:n, 2] <= room[2])
+                # room and vectors as shares of the limits; of equal products the longer piece
+                worth = scaled[:n] @ (room / limits) + vectors[:n, 0] * 1e-9
+                i = int(np.where(fits, worth, -1.0).argmax())
+                if fits[i]:
+                    piece, start, _ = take(i)
+                    remaining -= 1
+                    self.out.append((piece, start, keys[i][0], sequence, offset))
                     room -= vectors[i]
-                    offset += t
+                    offset += keys[i][0]
                     continue
-                if not (self.cut and left.any()):
+                if not self.cut:
                     break
                 # cut the piece with the largest product; its rest stays an item
-                i = int(np.where(left > 0, (vectors / full) @ (room / full), -1.0).argmax())
-                piece, start, share = classes[keys[i]][-1]
+                i = int(np.where(left[:n] > 0, worth, -1.0).argmax())
+                share = classes[keys[i]][-1][2]
                 t = min(int(room[0]), keys[i][0] - 1, int(room[2] / share) if share else keys[i][0])
                 if t <= 0:
                     break
-                classes[keys[i]].pop()
-                left[i] -= 1
-                if not left[i]:
-                    del classes[keys[i]]
+                piece, start, _ = take(i)
                 self.out.append((piece, start, t, sequence, offset))
                 room -= np.array([t, 1, round(t * share)], float)
                 offset += t
                 rest = (keys[i][0] - t, int(round((keys[i][0] - t) * share)))
-                classes.setdefault(rest, []).append((piece, start + t, share))
-                if rest in index:
-                    left[index[rest]] += 1
-                else:
-                    index[rest] = len(keys)
+                if rest not in index:
+                    if n == len(vectors):
+                        vectors, left, scaled = (np.concatenate([x, np.zeros_like(x)]) for x in (vectors, left, scaled))
+                    index[rest] = n
                     keys.append(rest)
-                    vectors = np.vstack([vectors, [(rest[0], 1, rest[1])]])
-                    left = np.append(left, 1)
+                    vectors[n] = (rest[0], 1, rest[1])
+                    scaled[n] = vectors[n] / limits
+                    n += 1
+                classes.setdefault(rest, []).append((piece, start + t, share))
+                left[index[rest]] += 1
+            if not offset:
+                raise ValueError(f"a piece of vector {keys[int(left.argmax())]} fits no sequence")
 
     def settle(self) -> None:
         """Split the last sequence of a block at powers of two, where cutting is allowed, so that its parts need no padding."""
@@ -154,6 +171,8 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     with_ids adds the ids themselves as array<int>.
     """
     limit = capacity if loss is None else loss
+    if min(capacity, segments, limit, block) < 1:
+        raise ValueError("capacity, segments, loss and block must be 1 or more")
     share = F.lit(1.0) if loss_share is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(loss_share.cast("double"), F.lit(1.0))))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -202,5 +221,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def answer_share(text: Column) -> Column:
+    """The share of a text that is answer: all but its first line, which is the prompt if the text has more lines; in quarters, two at least."""
+    prompt = F.when(F.instr(text, "\n") > 0, F.length(F.substring_index(text, "\n", 1)) + 1).otherwise(0)
+    return F.round(4 * F.greatest(F.lit(0.5), 1 - prompt / F.greatest(F.length(text), F.lit(1)))) / 4
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    """Loss-bearing tokens are those of the answer; with the capacity as their limit they choose pieces but never leave room unused."""
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, tokenizer_path(), loss_share=answer_share(text_of("text")))
