@@ -1,15 +1,19 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree; blocks that are no article (menus, headers, footers, sidebars, notices, adverts, forms, comments) are cut
-off by tag, role and name (a name that is only part of a longer one cuts off what is mostly links); the rest is rated by link-adjusted characters per tag. The node with the largest sum of its children's
-densities is the article, and the least density on the path from it to the body is the threshold for what it keeps. Beside it, in page
-order, the node of the largest sum in every other branch that reaches the threshold is kept; where pages mark articles, all of them.
-Edge cases: null html is empty and gives an empty text; broken markup is read as far as it goes; repeated rows give one result
-each; empty tables give empty results; other columns are ignored.
+off by tag, role and name (a name that is only part of a longer one cuts off what is mostly links); the rest is rated by
+link-adjusted characters per tag. The node with the largest sum of its children's densities is the article, where marks inside a
+paragraph are no children (else a paragraph with links would be an article without its heading); the least density on the path from it
+to the body is the threshold for what it keeps. Beside it, in page order, the node of the largest sum in every other branch that
+reaches the threshold is kept.
+Edge cases: null html is empty and gives an empty text; broken markup is read as far as it goes; very long or deep pages take time in
+proportion to their length; of equal sums the outer, then the first node is taken; repeated rows give one result each; empty tables
+give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import re
@@ -49,7 +53,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
+    __slots__ = ("tag", "kids", "parent", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak", "block", "low", "bare")
 
     def __init__(self, tag: str, parent, dropped: bool = False):
         self.tag, self.parent, self.dropped, self.kids = tag, parent, dropped, []
@@ -75,71 +79,90 @@ def noisy(tag: str, attributes: str, inside: bool) -> bool | None:
     return None if doubt else False
 
 
+class Open:
+    """The stack of open elements, with the places of each tag in it, so that no search walks up the tree."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.scopes = [root], {}, []
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Ends all elements from this place on."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else 0
+
+
 def parse(page: str) -> Node:
-    """The tree under a root node; text is str among the children. Open elements end as browsers end them, in the common cases."""
-    root = at = Node("#root", None)
+    """The tree under a root node; text is str among the children. Open elements end as browsers end them, in the common cases.
+
+    Takes time in proportion to the page, however deep it is nested.
+    """
+    root = Node("#root", None)
+    open_, body = Open(root), None
     pos, n = 0, len(page)
     while pos < n:
         m = TOKEN.search(page, pos)
         if not m:
-            at.kids.append(page[pos:])
+            open_.top.kids.append(page[pos:])
             break
         if m.start() > pos:
-            at.kids.append(page[pos : m.start()])
+            open_.top.kids.append(page[pos : m.start()])
         pos = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                at.kids.append(entities.escape(m[0][9:].removesuffix("]]>")))
+                open_.top.kids.append(entities.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in ("body", "html"):
-                continue
-            node = at
-            while node is not None and node.tag != tag:
-                if tag != "p" and node.tag in SCOPE and tag not in BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None:
-                at = node.parent
+            # an inline element isn't ended from inside a cell or button
+            at = open_.last(tag)
+            if tag not in ("body", "html") and at > 0 and (tag == "p" or tag in BLOCK or at >= open_.scope()):
+                open_.cut(at)
             continue
         if tag in ("html", "body"):
-            if not any(isinstance(k, Node) and k.tag == "body" for k in root.kids) and tag == "body":
-                at = Node("body", root)
-                root.kids.append(at)
+            if tag == "body" and body is None:
+                body = Node("body", root)
+                root.kids.append(body)
+                open_.cut(1)
+                open_.push(body)
             continue
-        if at.tag == "#root" and tag not in RAW and tag != "head":
-            body = next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), None)
-            if body is not None:
-                at = body
-        if tag in BLOCK:
-            node = at
-            while node is not None and node.tag not in SCOPE:
-                if node.tag == "p":
-                    at = node.parent
-                    break
-                node = node.parent
+        if body is not None and len(open_.stack) == 1 and tag not in RAW and tag != "head":
+            open_.push(body)
+        if tag in BLOCK and open_.last("p") > open_.scope():
+            open_.cut(open_.last("p"))
         if tag in CLOSES:
             ends, holders = CLOSES[tag]
-            node, last = at, None
-            while node is not None and node.tag not in holders and node.tag not in ("body", "#root"):
-                if node.tag in ends:
-                    last = node
-                node = node.parent
-            if last is not None:
-                at = last.parent
+            held = max(open_.last("body"), *(open_.last(x) for x in holders), 0)
+            inner = [places[k] for x in ends if (places := open_.places.get(x)) and (k := bisect.bisect_right(places, held)) < len(places)]
+            if inner:
+                open_.cut(min(inner))
         attributes = m[3] or ""
-        inside, p = False, at
-        while p is not None and tag == "header" and not inside:
-            inside, p = p.tag in ("article", "main"), p.parent
-        node = Node(tag, at, noisy(tag, attributes, inside))
-        at.kids.append(node)
+        node = Node(tag, open_.top, noisy(tag, attributes, open_.last("article") > 0 or open_.last("main") > 0))
+        open_.top.kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(page, pos)
             pos = end.end() if end else n
         elif tag not in VOID and not attributes.endswith("/"):
-            at = node
+            open_.push(node)
     return root
 
 
@@ -169,19 +192,25 @@ def rate(root: Node) -> tuple[float, float]:
         node.tags = sum(k.tags + 1 for k in kids)
         node.link_chars = node.chars if node.tag == "a" else sum(k.link_chars for k in kids)
         node.link_tags = sum(k.link_tags + (k.tag == "a") for k in kids)
+        node.block = node.tag in BLOCK or any(k.block for k in kids)
     link, chars = root.link_chars, max(root.chars, 1)
     for node in order:
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        plain = max(c - node.link_chars, 1)
-        base = math.log(c / plain * node.link_chars + link / chars * c + math.e)
+        unlinked = max(c - node.link_chars, 1)
+        base = math.log(c / unlinked * node.link_chars + link / chars * c + math.e)
         node.density = c / t * (math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1.0001 else math.log(max(c / lc * t / lt, 1.0))) if c else 0.0
     for node in reversed(order):
         kids = [k for k in node.kids if isinstance(k, Node) and not k.dropped]
-        node.total = sum(k.density for k in kids)
+        # marks inside a paragraph aren't parts of a page
+        node.total = sum(k.density for k in kids if k.block)
         node.peak = node
         for k in kids:
             if k.peak.total > node.peak.total:
                 node.peak = k.peak
+    for node in order:
+        above = node.parent if node is not root else None
+        node.low = node.density if above is None else min(above.low, node.density)
+        node.bare = plain(node) if above is None else min(above.bare, plain(node))
     return link, chars
 
 
@@ -230,27 +259,6 @@ def plain(node: Node) -> float:
     return (node.chars - node.link_chars) / max(node.tags, 1)
 
 
-def least(node: Node, body: Node, of) -> float:
-    """The least value on the path from node to the body."""
-    low = of(node)
-    while node is not body and node.parent is not None:
-        node = node.parent
-        low = min(low, of(node))
-    return low
-
-
-def marked(top: Node, tags: tuple[str, ...]) -> list[Node]:
-    """The outermost nodes of these tags under top, in page order."""
-    out, stack = [], [top]
-    while stack:
-        node = stack.pop()
-        if node.tag in tags:
-            out.append(node)
-        else:
-            stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.dropped)
-    return out
-
-
 def branches(top: Node, dense) -> list[Node]:
     """The node of the largest sum under top and those of all `dense` branches beside the path to it, in page order."""
     out, stack = [], [top]
@@ -270,21 +278,14 @@ def extract(page: str) -> str:
     rate(body)
     if cut_doubtful(body):
         rate(body)
-    best = node = body.peak
-    while node is not None:
-        if node.tag in ("article", "main"):
-            best = node
-        node = node.parent
-    threshold, bare = least(best, body, lambda k: k.density), least(best, body, plain)
+    best = body.peak
+    threshold, bare = best.low, best.bare
     # a short part has a smaller density than a long one of the same paragraphs
     dense = lambda k: k.density >= threshold or plain(k) >= bare
-    if best.tag in ("article", "main"):
-        chosen = [k for k in marked(body, ("article", "main")) if k is best or k.chars and dense(k)]
-    else:
-        chosen = [k for k in marked(best, ("article",)) if k.chars] or branches(body, dense)
+    chosen = branches(body, dense)
     out: list[str] = []
     for node in chosen:
-        blocks(node, min(threshold, least(node, body, lambda k: k.density)), out)
+        blocks(node, min(threshold, node.low), out)
     return "\n\n".join(out)
 
 
