@@ -2,17 +2,21 @@
 
 A character language model (trigrams, counted over all documents) and a channel that writes letters as look-alikes, puts
 separators between them or repeats them; Viterbi decoding over the lattice of what each character can stand for gives the likeliest
-words. Words, and beginnings of words, that labelled toxic documents hold significantly more often make the lexicon; a logistic model
+words: the lattice of a whole token or spaced run, of any length, without a beam. Before that, letters of other scripts that look like
+Latin ones, full-width forms and invisible characters are folded. Words, and beginnings of words, that labelled toxic documents hold significantly more often make the lexicon; a logistic model
 of a document's strongest and number of lexicon words gives the score.
 Edge cases: null texts are empty and get the score of a text without lexicon words; null labels and ids teach nothing; a null id is not
 held out; repeated labels count once, toxic if any says so; without labels of both classes every score is the smoothed share of toxic ones;
-empty tables give empty results; other columns are ignored.
+very long texts and tokens are read whole; of equally likely words the first in the lattice goes first; empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +34,24 @@ SAMPLE = 10_000
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
 SIDE = 64
 LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "×": "x", "§": "s", "µ": "u"}
-DROPPABLE = ".-_*~'`’·,:/\\ "
+DROPPABLE = ".-_*~'`’·,:/\\ \t\n\r"
 #: Costs, in nats, of a look-alike, of a dropped separator, of a hidden letter, of an absorbed repetition.
 COSTS = (1.0, 0.5, 3.0, 0.7)
 PUNCTUATION = "\"'`’‘“”.,;:!?()[]{}<>«»…—–-_*#%&$/\\|~=+^"
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·~/]{1,2}[^\W_]){3,}(?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*·~/]{1,2}[^\W_]){3,}(?![^\W_])")
 PART = re.compile(r"[^\W\d_]+")
 ROW = re.compile(r"([^\w\s])\1\1")
-TRIPLE = re.compile(r"(.)\1\1")
-LONGEST = 48
+DOUBLE = re.compile(r"(.)\1")
+#: Letters of other scripts that look like Latin ones: Cyrillic, then Greek.
+CONFUSABLE = str.maketrans("авсенікмортухѕјαβεηικνορτυχμ", "abcehikmoptyxsjabenikvoptuxu")
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 
 
+def fold(text: str) -> str:
+    """Lower case; compatibility forms as plain ones, without invisible characters."""
+    low = text.lower()
+    return low if low.isascii() else INVISIBLE.sub("", unicodedata.normalize("NFKC", low))
+
 
 def _codes() -> np.ndarray:
     code = np.zeros(0x250, np.int64)
@@ -89,26 +100,50 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """List-Viterbi over the lattice of a token's readings."""
+    """List-Viterbi over the lattice of a token's readings.
+
+    A state is the last two letters and the letter that was last written; of each the `keep` likeliest words are kept, with the
+    likeliest way to write each. The first `keep` words of the result are the likeliest of all words of the lattice.
+    """
 
     def __init__(self, model: np.ndarray, keep: int = 3):
-        self.model, self.keep = model.tolist(), keep
+        self.array, self.model, self.keep = model, model.tolist(), keep
         self.code = {c: k + 2 for k, c in enumerate(LETTERS)}
 
+    def _put(self, new: dict, key: tuple, paths: list) -> None:
+        """A path is (score, hash of the word, (path before, letter))."""
+        old = new.get(key)
+        if old is None:
+            new[key] = paths
+            return
+        best: dict[int, tuple] = {}
+        for p in old + paths:
+            if (q := best.get(p[1])) is None or p[0] > q[0]:
+                best[p[1]] = p
+        new[key] = sorted(best.values(), key=lambda p: -p[0])[: self.keep]
+
+    def _hidden(self, states: dict, new: dict, cost: float) -> None:
+        """Any letter may stand here. All states with the same last letter go on together; their words differ."""
+        by: dict[int, list] = {}
+        for (a, b, _), paths in states.items():
+            by.setdefault(b, []).extend((p, a) for p in paths)
+        letters = list(self.code.items())
+        for b, rows in by.items():
+            total = np.array([p[0] for p, _ in rows])[:, None] + self.array[[a for _, a in rows], b][:, 2 : len(letters) + 2].astype(float) - cost
+            n = min(self.keep, len(rows))
+            best = np.argsort(-total, axis=0, kind="stable")[:n]
+            for j, (x, k) in enumerate(letters):
+                self._put(new, (b, k, x), [(float(total[i, j]), hash((rows[i][0][1], x)), (rows[i][0][2], x)) for i in best[:, j]])
+
     def decode(self, token: str, borders: bool = False) -> list[str]:
-        """The likeliest words that the token can stand for, best first. States are the last two letters.
+        """The likeliest words that the token can stand for, best first.
 
         borders: separators can also end a word, and a reading is several words with spaces.
         """
         look, drop, hide, absorb = COSTS
-        states: dict[tuple[int, int, str], list[tuple[float, str]]] = {(0, 0, ""): [(0.0, "")]}
+        states: dict[tuple[int, int, str], list[tuple]] = {(0, 0, ""): [(0.0, 0, None)]}
         for c in token:
-            new: dict[tuple[int, int, str], list[tuple[float, str]]] = {}
-
-            def put(key, paths, new=new):
-                old = new.get(key)
-                new[key] = paths if old is None else sorted({*old, *paths}, reverse=True)[: self.keep]
-
+            new: dict[tuple[int, int, str], list[tuple]] = {}
             readings = [(x, look) for x in LOOKALIKE.get(c, "")]
             if c in self.code or c.isalpha():
                 readings.append((c, 0.0))
@@ -116,36 +151,33 @@ class Decoder:
                 for x, cost in readings:
                     k = self.code.get(x, 1)
                     gain = self.model[a][b][k] - cost
-                    put((b, k, x), [(s + gain, w + x) for s, w in paths])
+                    self._put(new, (b, k, x), [(s + gain, hash((h, x)), (w, x)) for s, h, w in paths])
                     if x == last:
-                        put((a, b, last), [(s - absorb - cost, w) for s, w in paths])
+                        self._put(new, (a, b, last), [(s - absorb - cost, h, w) for s, h, w in paths])
                 if c in DROPPABLE:
-                    put((a, b, last), [(s - drop, w) for s, w in paths])
+                    self._put(new, (a, b, last), [(s - drop, h, w) for s, h, w in paths])
                     if borders and b:
                         gain = self.model[a][b][0]
-                        put((0, 0, ""), [(s + gain, w + " ") for s, w in paths])
-                if c in "*#":
-                    for x, k in self.code.items():
-                        gain = self.model[a][b][k] - hide
-                        put((b, k, x), [(s + gain, w + x) for s, w in paths])
+                        self._put(new, (0, 0, ""), [(s + gain, hash((h, " ")), (w, " ")) for s, h, w in paths])
+            if c in "*#":
+                self._hidden(states, new, hide)
             states = new
             if not states:
                 return []
-            if len(states) > 256:
-                states = dict(sorted(states.items(), key=lambda i: -i[1][0][0])[:256])
-        done = sorted(((s + self.model[a][b][0], w) for (a, b, _), paths in states.items() for s, w in paths), reverse=True)
-        return list(dict.fromkeys(w for _, w in done))[: 2 * self.keep]
+        done = [(s + self.model[a][b][0], h, w) for (a, b, _), paths in states.items() for s, h, w in paths]
+        return list(dict.fromkeys(self._word(w) for _, _, w in heapq.nlargest(2 * self.keep, done, key=lambda p: p[0])))
 
-
-def pieces(text: str) -> list[str]:
-    """Pieces of twice LONGEST characters; what lies across the end of one is whole in the next if it is not above LONGEST."""
-    return [text[k : k + 2 * LONGEST] for k in range(0, max(len(text) - LONGEST, 1), LONGEST)]
+    @staticmethod
+    def _word(w: tuple | None) -> str:
+        out = []
+        while w is not None:
+            w, x = w
+            out.append(x)
+        return "".join(reversed(out))
 
 
 def suspicious(core: str) -> bool:
-    """Letters mixed with what can stand for letters, or a letter three times in a row."""
-    if core.isalpha():
-        return TRIPLE.search(core) is not None
+    """Letters mixed with what can stand for letters."""
     letters = sum(c.isalpha() for c in core)
     signs = sum(c in LOOKALIKE or c in DROPPABLE or c in "*#" for c in core)
     return letters > 0 and letters + signs == len(core) and letters * 3 >= signs
@@ -167,17 +199,23 @@ class Reader:
     def __init__(self, decoder: Decoder, of):
         self.decoder, self.of, self.known = decoder, of, {}
 
+    def both(self, run: str) -> set[str]:
+        """Its words, with separators dropped and with separators as borders."""
+        return {*self.decoder.decode(run), *(w for r in self.decoder.decode(run, borders=True) for w in r.split())}
+
     def words(self, token: str) -> set[str]:
+        if not token.isascii() and any("a" <= c <= "z" for c in token):
+            token = token.translate(CONFUSABLE)
         core = token.strip(PUNCTUATION)
-        out = set(PART.findall(token)) if not core.isalpha() else {core}
+        if core.isalpha():
+            # only repetitions can be absorbed: the likeliest reading, where that isn't the token itself
+            return {core, *self.decoder.decode(core)[:1]} if DOUBLE.search(core) else {core}
+        out = set(PART.findall(token))
         # signs at the ends can stand for letters too ("a$$"), but not rows of three ("word$$$")
         edge = token.strip(".,;:?%&#*\"")
         for c in {core, edge} if not ROW.search(edge) else {core}:
-            if 3 <= len(c) and suspicious(c):
-                for part in pieces(c):
-                    out.update(self.decoder.decode(part))
-                    if len(c) > len(part):
-                        out.update(w for r in self.decoder.decode(part, borders=True) for w in r.split())
+            if len(c) >= 3 and suspicious(c):
+                out.update(self.both(c) if any(x in DROPPABLE for x in c) else self.decoder.decode(c))
         return out
 
     def token(self, token: str):
@@ -189,18 +227,14 @@ class Reader:
         return got
 
     def read(self, text: str) -> list:
-        low = text.lower()
+        low = fold(text)
         out: list = []
         for t in set(low.split()):
             if v := self.token(t):
                 out += v
         if len(low) > 6 and (spaced := SPACED.findall(low)):
             for s in set(spaced):
-                words: set[str] = set()
-                for part in pieces(s):
-                    words.update(self.decoder.decode(part))
-                    words.update(w for r in self.decoder.decode(part, borders=True) for w in r.split())
-                out += [v for w in sorted(words) if (v := self.of(w)) is not None]
+                out += [v for w in sorted(self.both(s)) if (v := self.of(w)) is not None]
         return out
 
 

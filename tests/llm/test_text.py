@@ -109,6 +109,26 @@ def test_html_query(spark, small):
         assert got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"])
     df = spark.createDataFrame([(1, None, None, "z"), (1, None, None, "z")], "page_id long, url string, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in html.extract_pages(df).collect()] == [("", 0)] * 2
+    assert html.extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<div>" * 120_000 + "x", "<b>" * 60_000 + "</i>" * 60_000 + "x", "<table><td>" + "<i>" * 60_000 + "</b>" * 60_000 + "x", "<p>" + "<span>" * 60_000 + "<li>" * 60_000 + "x", "<ul><li>" * 60_000 + "x", "<header>" * 60_000 + "<p>x"])
+def test_html_takes_time_in_proportion_to_a_page(page):
+    import time
+
+    began = time.perf_counter()
+    assert html.extract(page) in ("x", "")
+    assert time.perf_counter() - began < 15
+
+
+def test_html_density_finds_the_article_without_marks():
+    words = "The quick brown fox jumps over the lazy dog again and again. "
+    menu = "".join(f'<li><a href="/{k}">Section {k}</a></li>' for k in range(30))
+    parts = [words * 4 + f"Part {k}." for k in range(6)]
+    page = f"<body><div><ul>{menu}</ul></div><div><div><h2>Head</h2>" + "".join(f"<p>{p} <a href='x'>more</a> <b>bold</b></p>" for p in parts) + f"</div></div><div><ul>{menu}</ul></div></body>"
+    assert html.extract(page) == "\n\n".join(["Head", *[f"{p} more bold" for p in parts]])
+    one = f"<body><div><ul>{menu}</ul></div><section><h1>Only</h1><p>{words * 3}<b>a</b> <i>b</i> <a href='x'>c</a></p></section></body>"
+    assert html.extract(one) == f"Only\n\n{(words * 3).strip()} a b c"
 
 
 def check_packing(pieces, lengths, capacity, segments, loss, shares):
@@ -160,6 +180,33 @@ def test_packing_query(spark, tiny):
         assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
 
 
+def test_added_tokens_inside_a_text(spark):
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(packing.tokenizer_path()), packing.encoder(packing.tokenizer_path())
+    for x in ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n", "<|endoftext", "<|other|> <|endoftext|>x"):
+        assert encode(x) == t.encode(x, add_special_tokens=False).ids
+
+
+def test_each_limit_binds(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 60))) + rng.choice(["", "\nanswer " * rng.randint(1, 30)])) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    share = packing.answer_share(df["text"])
+    shares = {r["doc_id"]: r["s"] for r in df.select("doc_id", share.alias("s")).collect()}
+    for limits, binds in (({"capacity": 256}, "tokens"), ({"capacity": 1024, "segments": 3}, "segments"), ({"capacity": 512, "loss": 300}, "loss")):
+        bins = {}
+        for r in packing.pack(df, packing.tokenizer_path(), loss_share=share, cut=False, **limits).collect():
+            bins.setdefault(r["sequence_id"], []).append((r["length"], shares[r["doc_id"]]))
+        tokens, segments, loss = ([f(b) for b in bins.values()] for f in (lambda b: sum(n for n, _ in b), len, lambda b: sum(round(n * s) for n, s in b)))
+        full = {"tokens": max(tokens) / limits["capacity"], "segments": max(segments) / limits.get("segments", 128), "loss": max(loss) / limits.get("loss", limits["capacity"])}
+        assert all(v <= 1 for v in full.values()) and full[binds] > 0.97
+        assert binds == "tokens" or np.mean(np.array(tokens) < limits["capacity"]) > 0.8
+    for wrong in ({"capacity": 0}, {"segments": 0}, {"loss": 0}):
+        with pytest.raises(ValueError):
+            packing.pack(df, packing.tokenizer_path(), **wrong)
+
+
 def test_packing_edges(spark):
     df = spark.createDataFrame([(1, None, 5), (1, None, 5), (2, "", 5), (None, "a b", 5)], "doc_id long, text string, length int")
     got = packing.pack(df, packing.tokenizer_path(), with_ids=True).collect()
@@ -187,6 +234,55 @@ def trained_decoder():
     return toxicity.Decoder(toxicity.language_model(counts))
 
 
+def lattice(token, model, borders=False):
+    """word -> likeliest way to write it, by enumeration of all readings of a token."""
+    code, m = {c: k + 2 for k, c in enumerate(toxicity.LETTERS)}, model.tolist()
+    look, drop, hide, absorb = toxicity.COSTS
+    best = {}
+
+    def go(i, word, a, b, last, score):
+        if i == len(token):
+            best[word] = max(best.get(word, -1e9), score + m[a][b][0])
+            return
+        c = token[i]
+        readings = [(x, look) for x in toxicity.LOOKALIKE.get(c, "")] + ([(c, 0.0)] if c.isalpha() else [])
+        for x, cost in readings:
+            k = code.get(x, 1)
+            go(i + 1, word + x, b, k, x, score + m[a][b][k] - cost)
+            if x == last:
+                go(i + 1, word, a, b, last, score - absorb - cost)
+        if c in toxicity.DROPPABLE:
+            go(i + 1, word, a, b, last, score - drop)
+            if borders and b:
+                go(i + 1, word + " ", 0, 0, "", score + m[a][b][0])
+        if c in "*#":
+            for x, k in code.items():
+                go(i + 1, word + x, b, k, x, score + m[a][b][k] - hide)
+
+    go(0, "", 0, 0, "", 0.0)
+    return best
+
+
+@pytest.mark.parametrize("token,borders", [("1d10t", False), ("m*r*n", False), ("i.d.1.o.t", True), ("iid11oot", False), ("a m-o.n", True), ("w0*", False), ("**o*", False), ("жш1", False)])
+def test_decoder_against_full_enumeration(token, borders):
+    decoder = trained_decoder()
+    want = lattice(token, decoder.array, borders)
+    got = decoder.decode(token, borders)
+    ranked = sorted(want.values(), reverse=True)[: decoder.keep]
+    assert len(got) >= len(ranked) and np.allclose([want[w] for w in got[: len(ranked)]], ranked, atol=1e-4)
+
+
+def test_long_tokens_are_decoded_whole():
+    decoder = trained_decoder()
+    for n in (10, 44, 95, 3000):
+        assert any(w.endswith("idiot") for w in decoder.decode("theother"[: n % 8] + "theother" * (n // 8) + "1d10t"))
+
+
+@pytest.mark.parametrize("text", ["such an idioot", "an іdіоt here", "ｉｄｉｏｔ", "id\u200bio\u200bt", "i d\ni o t", "1D10T!", "(i.d.i.o.t)"])
+def test_folded_and_doubled_letters(text):
+    assert "idiot" in toxicity.Reader(trained_decoder(), lambda w: w).read(text)
+
+
 @pytest.mark.parametrize("token,word", [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiiiiot", "idiot"), ("cl0wn", "clown"), ("m*ron", "moron"), ("w0rth1e$$", "worthless"), ("i d i o t", "idiot")])
 def test_decoder(token, word):
     assert word in trained_decoder().decode(token)
@@ -248,6 +344,9 @@ def test_toxicity_without_labels(spark):
 
 def test_toxicity_query(spark, small):
     got = toxicity.op6_toxicity(spark, small).toPandas()
+    marks = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "toxic").dropna().toPandas().groupby("doc_id")["toxic"].max()
+    held = got[got["held_out"] & got["doc_id"].isin(marks.index)]
+    assert (held["predicted"] == held["doc_id"].map(marks)).mean() > 0.97
     assert len(got) == 1000 and got["score"].between(0, 1).all()
     assert (got["held_out"] == [zlib.crc32(str(k).encode()) % 5 == 0 for k in got["doc_id"]]).all()
     assert (got["predicted"] == (got["score"] >= 0.5)).all()
