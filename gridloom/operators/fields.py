@@ -172,12 +172,21 @@ def regrid(field: Field, size: int) -> Field:
     return Field(interpolate(field, points, periodic=False).withColumnRenamed("p", a.name), (new,))
 
 
-def line_of_sight(field: Field, lines: DataFrame, steps: int) -> DataFrame:
-    """Integrals along segments (p, a_<axis>, b_<axis>) by the midpoint rule: the cell under each midpoint."""
+def line_of_sight(field: Field, lines: DataFrame, steps: int, order: int = 1) -> DataFrame:
+    """(p, v): integrals along segments (p, a_<axis>, b_<axis>) by the midpoint rule.
+
+    A position x lies at x / distance (size - 1) / size cells. Order 1 is linear between the corners of a cell, order 0 the nearest
+    cell; a line with a midpoint outside the grid has NaN.
+    """
     t = lines.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     length = F.sqrt(reduce(lambda u, v: u + v, [F.pow(F.col("b_" + a.name) - F.col("a_" + a.name), 2) for a in field.axes]))
-    cell = [F.floor((F.col("a_" + a.name) + (F.col("m") + 0.5) / steps * (F.col("b_" + a.name) - F.col("a_" + a.name))) / a.distance).cast("long").alias(a.name) for a in field.axes]
-    return t.select("p", (length / steps).alias("w"), *cell).join(field.df, field.names).groupBy("p").agg(F.sum(F.col("w") * F.col(field.value)).alias("v"))
+    at = {a.name: (F.col("a_" + a.name) + (F.col("m") + 0.5) / steps * (F.col("b_" + a.name) - F.col("a_" + a.name))) * ((a.size - 1) / a.size / a.distance) for a in field.axes}
+    inside = reduce(lambda u, v: u & v, [(at[a.name] >= 0) & (at[a.name] <= a.size - 1) for a in field.axes])
+    points = t.select("p", "m", (length / steps).alias("w"), inside.alias("inside"), *((at[a.name] * a.distance if order else F.round(at[a.name]) * a.distance).alias("x_" + a.name) for a in field.axes))
+    one = points.where("inside").select(F.struct("p", "m", "w").alias("p"), *("x_" + a.name for a in field.axes))
+    sums = interpolate(field, one, periodic=False).groupBy("p.p").agg(F.sum(F.col("p.w") * F.col("v")).alias("v"))
+    whole = points.groupBy("p").agg(F.min("inside").alias("whole"))
+    return whole.join(sums, "p", "left").select("p", F.when(F.col("whole"), F.col("v")).otherwise(float("nan")).alias("v"))
 
 
 # grids

@@ -19,9 +19,9 @@ from ..sources.fields import Axis, Field
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-_HOUR = "least(floor((epoch(ts) - 1704067200) / 3600), 719)::BIGINT"
-COUNTS = f"c AS (SELECT {_HOUR} AS i, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-01' GROUP BY 1), f AS (SELECT r.i, coalesce(c.n, 0) AS v FROM range(720) r(i) LEFT JOIN c ON c.i = r.i)"
-TYPES = f"t AS (SELECT event_type AS key, {_HOUR} AS i, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2)"
+_HOUR = "(CASE WHEN epoch(ts) - 1704067200 = 2592000 THEN 719 WHEN epoch(ts) >= 1704067200 AND epoch(ts) - 1704067200 < 2592000 THEN floor((epoch(ts) - 1704067200) / 3600) END)::BIGINT"
+COUNTS = f"c AS (SELECT {_HOUR} AS i, count(*) AS n FROM events WHERE {_HOUR} IS NOT NULL GROUP BY 1), f AS (SELECT r.i, coalesce(c.n, 0) AS v FROM range(720) r(i) LEFT JOIN c ON c.i = r.i)"
+TYPES = f"t AS (SELECT event_type AS key, {_HOUR} AS i, count(*)::DOUBLE AS v FROM events WHERE {_HOUR} IS NOT NULL GROUP BY 1, 2)"
 EMB = "f AS (SELECT vec_id AS s, unnest(range(64))::INT AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 GRID = """g AS (SELECT (l_partkey % 16)::BIGINT AS i, (l_suppkey % 16)::BIGINT AS j, sum(round(l_extendedprice * 100)::BIGINT) / 1e6 AS v FROM lineitem GROUP BY 1, 2),
 f AS (SELECT a.i, b.j, coalesce(g.v, 0) AS v FROM range(16) a(i) CROSS JOIN range(16) b(j) LEFT JOIN g ON g.i = a.i AND g.j = b.j)"""
@@ -142,8 +142,8 @@ def einsum_ij_j(spark, sf_dir):
 @query(f"WITH {EMB}, d AS (SELECT s, j, least(j, 64 - j) AS d, v FROM f), g AS (SELECT s, d, sum(v) AS v FROM d GROUP BY 1, 2) SELECT d.s, d.j, round(g.v, 6) AS v FROM d JOIN g USING (s, d)")
 def dof_gather_distribute(spark, sf_dir):
     f = src.emb(spark, sf_dir).df.withColumn("d", F.least("j", 64 - F.col("j")))
-    g = f.groupBy("s", "d").agg(F.sum("v").alias("v"))
-    return f.drop("v").join(g, ["s", "d"]).select("s", "j", r6("v").alias("v"))
+    f = f.withColumn("d", F.struct("s", "d"))
+    return fo.distribute(fo.gather(f), f.drop("v")).select("s", "j", r6("v").alias("v"))
 
 
 @query("WITH k AS (SELECT j, least(j, 64 - j) AS k FROM range(64) t(j)), b AS (SELECT j, (k > 1)::INT + (k > 8.75)::INT + (k > 16.5)::INT + (k > 24.25)::INT + (k > 32)::INT AS bin FROM k) SELECT bin, count(*) AS rho, min(j) AS first FROM b GROUP BY bin")
@@ -170,10 +170,15 @@ def regrid_down(spark, sf_dir):
     return fo.regrid(src.counts_hour(spark, sf_dir), 100).df.select("i", r6("v").alias("v"))
 
 
-@query(f"""WITH {GRID}, l AS (SELECT k AS p, 0.1 AS ai, 0.2 * k + 0.05 AS aj, 7.3 AS bi, 3.9 - 0.2 * k AS bj FROM range(16) t(k)), m AS (SELECT p, sqrt((bi - ai) * (bi - ai) + (bj - aj) * (bj - aj)) / 50 AS w, floor((ai + (m + 0.5) / 50 * (bi - ai)) / 0.5)::BIGINT AS i, floor((aj + (m + 0.5) / 50 * (bj - aj)) / 0.25)::BIGINT AS j FROM l, range(50) t(m))
-SELECT m.p, round(sum(m.w * f.v), 5) AS v FROM m JOIN f USING (i, j) GROUP BY m.p""")
+@query(f"""WITH {GRID}, l AS (SELECT k AS p, 0.1 AS ai, 0.2 * k + 0.05 AS aj, 7.3 AS bi, CASE WHEN k = 15 THEN 9 ELSE 3.9 - 0.2 * k END AS bj FROM range(16) t(k)),
+m AS (SELECT p, sqrt((bi - ai) * (bi - ai) + (bj - aj) * (bj - aj)) / 50 AS w, (ai + (m + 0.5) / 50 * (bi - ai)) * 15 / 16 / 0.5 AS x, (aj + (m + 0.5) / 50 * (bj - aj)) * 15 / 16 / 0.25 AS y FROM l, range(50) t(m)),
+o AS (SELECT *, least(floor(x), 14)::BIGINT AS i0, least(floor(y), 14)::BIGINT AS j0 FROM m),
+c AS (SELECT p, w, i0 + a AS i, j0 + b AS j, (CASE a WHEN 0 THEN 1 - (x - i0) ELSE x - i0 END) * (CASE b WHEN 0 THEN 1 - (y - j0) ELSE y - j0 END) AS u FROM o, range(2) ta(a), range(2) tb(b) WHERE x BETWEEN 0 AND 15 AND y BETWEEN 0 AND 15),
+z AS (SELECT c.p, sum(c.w * c.u * f.v) AS v FROM c JOIN f USING (i, j) GROUP BY c.p), h AS (SELECT p, bool_and(x BETWEEN 0 AND 15 AND y BETWEEN 0 AND 15) AS whole FROM m GROUP BY p)
+SELECT h.p, CASE WHEN h.whole THEN round(z.v, 5) ELSE 'NaN'::DOUBLE END AS v FROM h LEFT JOIN z USING (p)""")
 def los_sampling(spark, sf_dir):
-    lines = spark.range(16).select(F.col("id").alias("p"), F.lit(0.1).alias("a_i"), (0.2 * F.col("id") + 0.05).alias("a_j"), F.lit(7.3).alias("b_i"), (3.9 - 0.2 * F.col("id")).alias("b_j"))
+    end = F.when(F.col("id") == 15, 9.0).otherwise(3.9 - 0.2 * F.col("id"))
+    lines = spark.range(16).select(F.col("id").alias("p"), F.lit(0.1).alias("a_i"), (0.2 * F.col("id") + 0.05).alias("a_j"), F.lit(7.3).alias("b_i"), end.alias("b_j"))
     return fo.line_of_sight(src.grid2d(spark, sf_dir), lines, 50).select("p", F.round("v", 5).alias("v"))
 
 
@@ -244,22 +249,24 @@ def averaged_energy(spark, sf_dir):
     return e.agg(F.round(F.avg("e"), 4).alias("energy"), F.count("*").alias("n_samples"))
 
 
-@query(f"WITH {SERIES} SELECT k, t, id, round(1 + sum(sqrt(dt) * 0.5 * xi) OVER (PARTITION BY k ORDER BY t, id ROWS UNBOUNDED PRECEDING), 5) AS x FROM f")
+@query(f"WITH {SERIES} SELECT k, row_number() OVER (PARTITION BY k ORDER BY t, id) AS n, round(1 + sum(sqrt(dt) * 0.5 * xi) OVER (PARTITION BY k ORDER BY t, id ROWS UNBOUNDED PRECEDING), 5) AS x FROM f UNION ALL SELECT DISTINCT k, 0, 1 FROM f")
 def wiener_process(spark, sf_dir):
-    return pr.wiener(src.user_series(spark, sf_dir), "k", ["t", "id"], 1.0, 0.5).select("k", "t", "id", F.round("x", 5).alias("x"))
+    return pr.wiener(src.user_series(spark, sf_dir), "k", ["t", "id"], 1.0, 0.5).select("k", "n", F.round("x", 5).alias("x"))
 
 
-@query(f"""WITH {SERIES}, a AS (SELECT k, t, id, dt, xi, 0.5 * sqrt(dt) * (xi / 2) AS ds FROM f), b AS (SELECT *, sum(ds) OVER (PARTITION BY k ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS slope FROM a),
-c AS (SELECT *, 0.5 * sqrt(dt) * xi * sqrt(dt * dt / 12 + 0.1) + dt * coalesce(lag(slope) OVER (PARTITION BY k ORDER BY t, id), 0) + 0.5 * dt * ds AS dx FROM b) SELECT k, t, id, round(slope, 4) AS slope, round(sum(dx) OVER (PARTITION BY k ORDER BY t, id ROWS UNBOUNDED PRECEDING), 4) AS x FROM c""")
+@query(f"""WITH {SERIES}, a AS (SELECT k, t, id, dt, xi, 0.5 * sqrt(dt) * (xi / 2) AS ds FROM f), b AS (SELECT *, 0.2 + sum(ds) OVER (PARTITION BY k ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS slope FROM a),
+c AS (SELECT *, 0.5 * sqrt(dt) * xi * sqrt(dt * dt / 12 + 0.1) + dt * coalesce(lag(slope) OVER (PARTITION BY k ORDER BY t, id), 0.2) + 0.5 * dt * ds AS dx FROM b)
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY t, id) AS n, round(slope, 4) AS slope, round(1 + sum(dx) OVER (PARTITION BY k ORDER BY t, id ROWS UNBOUNDED PRECEDING), 4) AS x FROM c UNION ALL SELECT DISTINCT k, 0, 0.2, 1 FROM c""")
 def integrated_wiener(spark, sf_dir):
     f = src.user_series(spark, sf_dir).withColumns({"xi0": F.col("xi"), "xi1": F.col("xi") / 2})
-    return pr.integrated_wiener(f, "k", ["t", "id"], 0.5, 0.1).select("k", "t", "id", F.round("slope", 4).alias("slope"), F.round("x", 4).alias("x"))
+    return pr.integrated_wiener(f, "k", ["t", "id"], 0.5, 0.1, (1.0, 0.2)).select("k", "n", F.round("slope", 4).alias("slope"), F.round("x", 4).alias("x"))
 
 
-@query(f"""WITH {SERIES}, o AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY t DESC, id DESC) AS back, dt, xi, sum(dt) OVER (PARTITION BY k ORDER BY t DESC, id DESC ROWS UNBOUNDED PRECEDING) - dt AS after FROM f)
-SELECT k, round(0.3 * exp(-0.1 * sum(dt)) + sum(exp(-0.1 * after) * 0.5 * sqrt(1 - exp(-0.2 * dt)) * xi), 5) AS x FROM o GROUP BY k""")
+@query(f"""WITH RECURSIVE {SERIES}, g AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY t, id) AS n, exp(-0.1 * dt) AS a, xi FROM f),
+o(k, n, x) AS (SELECT DISTINCT k, 0::BIGINT, 0.3::DOUBLE FROM g UNION ALL SELECT g.k, g.n, g.a * o.x + 0.5 * sqrt(1 - g.a * g.a) * g.xi FROM o JOIN g ON g.k = o.k AND g.n = o.n + 1)
+SELECT k, n, round(x, 5) AS x FROM o""")
 def ornstein_uhlenbeck(spark, sf_dir):
-    return pr.ornstein_uhlenbeck(src.user_series(spark, sf_dir), "k", ["t", "id"], 0.3, 0.5, 0.1).select("k", F.round("x", 5).alias("x"))
+    return pr.ornstein_uhlenbeck(src.user_series(spark, sf_dir), "k", ["t", "id"], 0.3, 0.5, 0.1).select("k", "n", F.round("x", 5).alias("x"))
 
 
 _MODES = "SELECT s, k, sum(v * cos(2 * pi() * j * k / 64)) AS a, -sum(v * sin(2 * pi() * j * k / 64)) AS b FROM f, range(64) t(k) GROUP BY s, k"
@@ -316,10 +323,17 @@ def _pixels(spark, sf_dir):
     return src.table(spark, sf_dir, "events").select("event_id", F.pmod(F.col("user_id") * 7919 + F.col("event_id"), F.lit(12288)).cast("long").alias("pix"))
 
 
-@query(f"WITH {_PIX} SELECT event_id, pix, pix AS nest, pix AS ring FROM e")
+_EVEN = " + ".join(f"(((nest >> {2 * k}) & 1) << {k})" for k in range(5))
+_ODD = " + ".join(f"(((nest >> {2 * k + 1}) & 1) << {k})" for k in range(5))
+
+
+@query(f"""WITH {_PIX}, a AS (SELECT event_id, pix AS nest, pix // 1024 AS face, {_EVEN.replace("nest", "pix")} AS x, {_ODD.replace("nest", "pix")} AS y FROM e),
+b AS (SELECT *, (CASE WHEN face < 4 THEN 2 WHEN face < 8 THEN 3 ELSE 4 END) * 32 - x - y - 1 AS jr, CASE WHEN face < 4 THEN 2 * face + 1 WHEN face < 8 THEN 2 * (face - 4) ELSE 2 * (face - 8) + 1 END AS jp FROM a),
+c AS (SELECT *, CASE WHEN jr < 32 THEN jr WHEN jr > 96 THEN 128 - jr ELSE 32 END AS nr, CASE WHEN jr < 32 THEN 2 * jr * (jr - 1) WHEN jr > 96 THEN 12288 - 2 * (128 - jr + 1) * (128 - jr) ELSE 1984 + (jr - 32) * 128 END AS before, CASE WHEN jr < 32 OR jr > 96 THEN 0 ELSE (jr - 32) & 1 END AS shift FROM b),
+d AS (SELECT *, (jp * nr + x - y + 1 + shift) // 2 AS p FROM c) SELECT event_id, nest, before + (CASE WHEN p > 4 * nr THEN p - 4 * nr WHEN p < 1 THEN p + 4 * nr ELSE p END) - 1 AS ring, nest AS back FROM d""")
 def healpix_nest_ring_roundtrip(spark, sf_dir):
-    e = _pixels(spark, sf_dir).select("event_id", "pix", hp.nest_to_ring(F.col("pix"), 32).alias("r"), hp.ring_to_nest(F.col("pix"), 32).alias("n"))
-    return e.select("event_id", "pix", hp.ring_to_nest(F.col("r"), 32).alias("nest"), hp.nest_to_ring(F.col("n"), 32).alias("ring"))
+    e = _pixels(spark, sf_dir).select("event_id", F.col("pix").alias("nest"), hp.nest_to_ring(F.col("pix"), 32).alias("ring"))
+    return e.select("event_id", "nest", "ring", hp.ring_to_nest(F.col("ring"), 32).alias("back"))
 
 
 @query(f"""WITH {_PIX}, b AS (SELECT *, CASE WHEN pix < 1984 THEN floor((1 + sqrt(1 + 2 * pix)) / 2) WHEN pix >= 10304 THEN 128 - floor((1 + sqrt(24575 - 2 * pix)) / 2) ELSE 32 + (pix - 1984) // 128 END::BIGINT AS ring FROM e),

@@ -63,20 +63,20 @@ HOURS = 720
 
 
 def hour_of(ts: Column) -> Column:
-    """Hours since 2024-01-01; the last bin is closed."""
-    seconds = F.unix_timestamp(ts.cast("timestamp")) - F.lit(1704067200)
-    return F.least(F.floor(seconds / 3600), F.lit(HOURS - 1)).cast("long")
+    """Hours since 2024-01-01 of a histogram of 720 bins: the last bin holds its right edge too, what lies outside is null."""
+    seconds = F.unix_micros(ts.cast("timestamp")) / 1e6 - 1704067200
+    return F.when(seconds == HOURS * 3600, HOURS - 1).when((seconds >= 0) & (seconds < HOURS * 3600), F.floor(seconds / 3600)).cast("long")
 
 
 def counts_hour(spark: SparkSession, sf_dir: str) -> Field:
     """Events an hour, zero where there are none."""
-    n = table(spark, sf_dir, "events").select(hour_of(F.col("ts")).alias("i")).where(F.col("i") >= 0).groupBy("i").agg(F.count("*").alias("v"))
+    n = table(spark, sf_dir, "events").select(hour_of(F.col("ts")).alias("i")).where("i is not null").groupBy("i").agg(F.count("*").alias("v"))
     return dense(Field(n, (Axis("i", HOURS),)), 0)
 
 
 def type_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, i, v): events of a type in an hour."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), hour_of(F.col("ts")).alias("i")).groupBy("key", "i").agg(F.count("*").cast("double").alias("v"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), hour_of(F.col("ts")).alias("i")).where("i is not null").groupBy("key", "i").agg(F.count("*").cast("double").alias("v"))
 
 
 def emb(spark: SparkSession, sf_dir: str) -> Field:
