@@ -91,6 +91,20 @@ def statistics(field: Field, kept: list[str]) -> DataFrame:
     )
 
 
+def product(df: DataFrame, kept: list[str], value: str = "v") -> DataFrame:
+    """The product over all other indices."""
+    return df.groupBy(*kept).agg(F.product(value).alias(value))
+
+
+def multi_statistics(df: DataFrame, value: str = "v", other: str | None = None) -> DataFrame:
+    """Norms, sum and logical reductions over all keys and indices, and the product with another column, in one pass."""
+    v = F.col(value)
+    return df.agg(
+        F.sum(F.abs(v)).alias("norm1"), F.sqrt(F.sum(v * v)).alias("norm2"), F.max(F.abs(v)).alias("norm_inf"), F.sum(v).alias("total"),
+        F.min(v != 0).alias("all_nonzero"), F.max(v != 0).alias("any_nonzero"), F.sum(v * F.col(other or value)).alias("vdot"),
+    )
+
+
 def vdot(a: DataFrame, b: DataFrame, index: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
     """Sum of products of equal indices, for each of the kept ones."""
     return a.withColumnRenamed("v", "va").join(b.withColumnRenamed("v", "vb"), index).groupBy(*kept).agg(F.sum(F.col("va") * F.col("vb")).alias("v"))

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .solvers import conjugate_gradient
 
 
@@ -65,7 +66,7 @@ def poisson_mode(data: DataFrame, size: int, smoothness: float, steps: int = 6)
         longest = step.agg(F.max(F.abs("v"))).first()[0]
         shorten = min(1.0, 2.0 / longest) if longest else 1.0
         x = x.join(step.select("i", F.col("v").alias("y")), "i").select("i", (F.col("v") + shorten * F.col("y")).alias("v"))
-        x = x.checkpoint() if x.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else x.persist()
+        x = cut(x)
         if longest < 1e-6:
             break
     return x

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lineage
+
 
 def conjugate_gradient(apply: Callable[[DataFrame], DataFrame], b: DataFrame, index: str = "i", iterations: int = 50, tolerance: float = 1e-10, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """x (index, v) with apply(x) = b, for a symmetric positive operator. Only scalars come to the driver; `cut` ends lineage."""
-    cut = cut or (lambda df: df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist())
-    state = cut(b.select(index, F.lit(0.0).alias("x"), F.col("v").alias("r"), F.col("v").alias("d")))
+    cut = cut or lineage.cut
+    last = state = cut(b.select(index, F.lit(0.0).alias("x"), F.col("v").alias("r"), F.col("v").alias("d")))
     norm = first = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
     for _ in range(iterations):
         if norm <= tolerance * tolerance * max(first, 1e-300):
@@ -20,6 +22,8 @@ def conjugate_gradient(apply: Callable[[DataFrame], DataFrame], b: DataFrame, in
         curvature = moved.agg(F.sum(F.col("d") * F.col("q"))).first()[0]
         if not curvature or curvature <= 0:
             raise ValueError("the operator is not positive")
+        lineage.forget(last)
+        last = moved
         alpha = norm / curvature
         state = moved.select(index, (F.col("x") + alpha * F.col("d")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "d")
         new = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]

@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import healpix as hp
+from ..functions import numeric as nu
 from ..functions import pointwise as pw
+from ..operators import algebra as al
 from ..operators import energies as en
 from ..operators import fields as fo
+from ..operators import harmonic as ha
 from ..operators import inference
+from ..operators import likelihoods as li
 from ..operators import processes as pr
 from ..operators import solvers, spectra
 from ..sources import fields as src
 from ..sources import samples
+from ..sources.domains import LogAxis, OpenAxis, Power, Regular, bounds_of
 from ..sources.fields import Axis, Field
 
 QUERIES: dict = {}
@@ -359,3 +364,165 @@ def wiener_posterior_samples(spark, sf_dir):
     """Residuals of 16 samples around `wiener_filter`'s mean."""
     f = src.counts_hour(spark, sf_dir)
     return inference.residual_samples(f.df.select("i", F.lit(0.25).alias("m")), src.HOURS, 0.05, 16, seed=1, iterations=25)
+
+
+# composed operators
+
+_I = ("i",)
+
+
+@query(f"WITH {COUNTS} SELECT i, 2.0 * (i % 7 + 1) * v - 0.5 * v AS v FROM f WHERE i % 24 >= 6 UNION ALL SELECT i, -0.5 * v FROM f WHERE i % 24 < 6")
+def operator_chain(spark, sf_dir):
+    x = src.counts_hour(spark, sf_dir).df.withColumn("v", F.col("v").cast("double"))
+    values = x.select("i", (F.col("i") % 7 + 1).cast("double").alias("v"))
+    op = al.scaling(2.0, _I) @ al.diagonal(values, _I) @ al.masking(_I, F.col("i") % 24 < 6) - al.scaling(0.5, _I)
+    return op(x)
+
+
+@query("SELECT r_regionkey AS r, n_nationkey AS n, (r_regionkey + 1.0::DOUBLE) * n_regionkey AS v FROM region, nation")
+def outer_product(spark, sf_dir):
+    r = src.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"), (F.col("r_regionkey") + 1.0).alias("v"))
+    n = src.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").cast("double").alias("v"))
+    return al.outer(r, ("r",), ("n",))(n)
+
+
+@query(f"WITH {GRID} SELECT i, j, round(v * 0.125 * 0.125, 6) AS v FROM f")
+def weight_applier(spark, sf_dir):
+    f = src.grid2d(spark, sf_dir)
+    return al.weighting(f.axes, 2)(f.df).select("i", "j", r6("v").alias("v"))
+
+
+@query(f"WITH {EMB} SELECT s, round(product(1 + v / 10), 6) AS v FROM f GROUP BY s")
+def field_product(spark, sf_dir):
+    return fo.product(src.emb(spark, sf_dir).df.withColumn("v", 1 + F.col("v") / 10), ["s"]).select("s", r6("v").alias("v"))
+
+
+@query(f"WITH {COUNTS} SELECT 'early' AS key, i, v::DOUBLE AS v FROM f WHERE i < 400 UNION ALL SELECT 'late', i, v::DOUBLE FROM f WHERE i >= 300")
+def split_parts(spark, sf_dir):
+    x = src.counts_hour(spark, sf_dir).df.withColumn("v", F.col("v").cast("double"))
+    return al.split(_I, {"early": F.col("i") < 400, "late": F.col("i") >= 300})(x)
+
+
+@query(f"WITH {COUNTS} SELECT p, f.v::DOUBLE AS v FROM (SELECT o_orderkey AS p, o_orderkey % 720 AS i FROM orders) o JOIN f USING (i)")
+def extract_at_indices(spark, sf_dir):
+    x = src.counts_hour(spark, sf_dir).df.withColumn("v", F.col("v").cast("double"))
+    places = src.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("p"), F.pmod("o_orderkey", F.lit(720)).cast("long").alias("i"))
+    return al.pick(_I, "i", places)(x)
+
+
+@query(f"WITH {GRID}, h AS (SELECT CASE WHEN i >= 8 THEN i + 4 ELSE i END AS i, CASE WHEN j >= 8 THEN j + 8 ELSE j END AS j, v FROM f) SELECT a.i, b.j, round(coalesce(h.v, 0), 6) AS v FROM range(20) a(i) CROSS JOIN range(24) b(j) LEFT JOIN h ON h.i = a.i AND h.j = b.j")
+def pad_two_axes(spark, sf_dir):
+    f = src.grid2d(spark, sf_dir)
+    padded = al.padding(("i", "j"), {"i": (16, 20), "j": (16, 24)}, central=True)(f.df)
+    return src.dense(Field(padded, (Axis("i", 20), Axis("j", 24)))).df.select("i", "j", r6("v").alias("v"))
+
+
+@query(f"WITH {TYPES} SELECT round(sum(abs(v)), 6) AS norm1, round(sqrt(sum(v * v)), 6) AS norm2, max(abs(v)) AS norm_inf, sum(v) AS total, bool_and(v <> 0) AS all_nonzero, bool_or(v <> 0) AS any_nonzero, sum(v * v * 2) AS vdot FROM t")
+def multifield_reductions(spark, sf_dir):
+    return fo.multi_statistics(src.type_hour(spark, sf_dir).withColumn("w", 2 * F.col("v")), "v", "w").select(r6("norm1").alias("norm1"), r6("norm2").alias("norm2"), "norm_inf", "total", "all_nonzero", "any_nonzero", "vdot")
+
+
+@query(f"WITH {TYPES} SELECT key, i, least(greatest(v, 2.0), 5.0)::DOUBLE AS v FROM t")
+def multifield_clip(spark, sf_dir):
+    t = src.type_hour(spark, sf_dir)
+    return t.select("key", "i", pw.ptw("clip", F.col("v"), 2.0, 5.0).alias("v"))
+
+
+@query(f"WITH {TYPES}, a AS (SELECT * FROM t WHERE i < 400), b AS (SELECT * FROM t WHERE key < 'd') SELECT coalesce(a.key, b.key) AS key, coalesce(a.i, b.i) AS i, coalesce(a.v, 0) - coalesce(b.v, 0) AS v FROM a FULL JOIN b ON a.key = b.key AND a.i = b.i")
+def flexible_subtract(spark, sf_dir):
+    t = src.type_hour(spark, sf_dir)
+    return al.add(t.where("i < 400"), t.where("key < 'd'"), ("key", "i"), 1.0, -1.0)
+
+
+@query(f"WITH {TYPES} SELECT 'pre_' || key AS key, i, CASE WHEN key < 'd' THEN 3 * v ELSE v END AS v FROM t WHERE key IN (SELECT DISTINCT key FROM t WHERE key < 'q')")
+def block_diagonal_keys(spark, sf_dir):
+    t = src.type_hour(spark, sf_dir)
+    kept = [r["key"] for r in t.where("key < 'q'").select("key").distinct().collect()]
+    op = al.prepend("pre_", ("key", "i")) @ al.block_diagonal({k: al.scaling(3.0 if k < "d" else 1.0, _I) for k in kept})
+    return op(t)
+
+
+@query(f"WITH {COUNTS} SELECT a.i, 2.0 * a.v - coalesce(b.v, 0) - coalesce(c.v, 0) AS v FROM f a LEFT JOIN f b ON b.i = a.i - 1 LEFT JOIN f c ON c.i = a.i + 1")
+def toeplitz_product(spark, sf_dir):
+    x = src.counts_hour(spark, sf_dir).df.withColumn("v", F.col("v").cast("double"))
+    lags = spark.range(2).select(F.col("id").alias("lag"), (2.0 - 3.0 * F.col("id")).alias("v"))
+    return al.toeplitz(lags, Axis("i", 720), _I)(x)
+
+
+@query("WITH RECURSIVE d AS (SELECT DISTINCT round(p_retailprice, 2)::DOUBLE AS v FROM part), u(v) AS (SELECT min(v) FROM d UNION ALL SELECT (SELECT min(d.v) FROM d WHERE d.v > u.v AND abs(u.v - d.v) > 5 + 0.01 * abs(d.v)) FROM u WHERE u.v IS NOT NULL) SELECT v AS u, row_number() OVER (ORDER BY v) - 1 AS n FROM u WHERE v IS NOT NULL")
+def tolerance_unique(spark, sf_dir):
+    p = src.table(spark, sf_dir, "part").select(F.round("p_retailprice", 2).cast("double").alias("v"))
+    return nu.unique(p, "v", "v", 5.0, 0.01).select("u", "n").distinct()
+
+
+_GRID_MODES = "m AS (SELECT k.k, q.q, sum(v * cos(2 * pi() * (i * k.k + j * q.q) / 16)) AS a, -sum(v * sin(2 * pi() * (i * k.k + j * q.q) / 16)) AS b FROM f, range(16) k(k), range(16) q(q) GROUP BY 1, 2)"
+_GRID_SPACE = Regular((16, 16), (0.5, 0.25))
+
+
+@query(f"WITH {GRID}, {_GRID_MODES} SELECT k AS i, q AS j, round(a / 8, 5) AS re, round(b / 8, 5) AS im FROM m")
+def fft_two_axes(spark, sf_dir):
+    f = src.grid2d(spark, sf_dir)
+    return ha.fft(ha.complex_of(f.df, ("i", "j")), f.axes).select("i", "j", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im"))
+
+
+@query(f"WITH {GRID}, {_GRID_MODES} SELECT k AS i, q AS j, round(a + b, 5) AS v FROM m")
+def hartley_two_axes(spark, sf_dir):
+    f = src.grid2d(spark, sf_dir)
+    return ha.hartley(f.df, f.axes).select("i", "j", (F.round("v", 5) + 0.0).alias("v"))
+
+
+@query(f"WITH {GRID} SELECT (i + 8) % 16 AS i, (j + 8) % 16 AS j, round(v, 6) AS v FROM f")
+def fft_shift(spark, sf_dir):
+    f = src.grid2d(spark, sf_dir)
+    return al.shift(("i", "j"), f.axes)(f.df).select("i", "j", r6("v").alias("v"))
+
+
+_LENGTH = "round(sqrt(pow(least(k, 16 - k) / 8.0, 2) + pow(least(q, 16 - q) / 4.0, 2)), 9)"
+
+
+@query(f"WITH {GRID}, {_GRID_MODES}, p AS (SELECT {_LENGTH} AS l, (a * a + b * b) / 64 AS p FROM m), r AS (SELECT dense_rank() OVER (ORDER BY l) - 1 AS bin, p, l FROM p) SELECT bin, count(*) AS rho, round(avg(l), 6) AS k, round(avg(p), 4) AS power FROM r GROUP BY bin")
+def power_analyze_two_axes(spark, sf_dir):
+    bins = Power(_GRID_SPACE.codomain).table(spark)
+    return ha.power_analyze(src.grid2d(spark, sf_dir).df, _GRID_SPACE).join(bins, "bin").select("bin", "rho", r6("k").alias("k"), F.round("power", 4).alias("power"))
+
+
+_BOUNDS = tuple(bounds_of(_GRID_SPACE.codomain.unique_lengths(), False, 5))
+
+
+@query(f"WITH {GRID}, {_GRID_MODES}, p AS (SELECT sqrt(pow(least(k, 16 - k) / 8.0, 2) + pow(least(q, 16 - q) / 4.0, 2)) AS l, (a * a + b * b) / 64 AS p FROM m) SELECT {' + '.join(f'(l > {b!r})::BIGINT' for b in _BOUNDS)} AS bin, count(*) AS rho, round(avg(p), 4) AS power FROM p GROUP BY 1")
+def power_analyze_bins(spark, sf_dir):
+    bins = Power(_GRID_SPACE.codomain, _BOUNDS).table(spark)
+    return ha.power_analyze(src.grid2d(spark, sf_dir).df, _GRID_SPACE, _BOUNDS).join(bins, "bin").select("bin", "rho", F.round("power", 4).alias("power"))
+
+
+@query(f"WITH {EMB}, a AS (SELECT s, j, v * CASE WHEN j = 0 THEN 64 * 0.3 ELSE 0.7 * 8 * exp(-0.75 * ln(1 + pow(least(j, 64 - j) / 64.0 / 0.1, 2))) END AS v FROM f), m AS (SELECT s, k, sum(v * cos(2 * pi() * j * k / 64)) - sum(v * sin(2 * pi() * j * k / 64)) AS h FROM a, range(64) t(k) GROUP BY s, k) SELECT s, k AS j, round(1.5 + h / 64, 6) AS v FROM m")
+def correlated_field_rows(spark, sf_dir):
+    line = Regular((64,), (1.0,), names=("j",))
+    xi = src.emb(spark, sf_dir).df
+    return ha.correlated_field(xi, line, ha.matern_amplitude(line, 0.7, 0.1, -3.0), 1.5, 0.3, ("s", "j")).select("s", "j", r6("v").alias("v"))
+
+
+@query("SELECT round(sum(2.5 * ln(1 + pow((l_discount - 0.05) * (20 + l_linenumber), 2) / 4) - ln(20 + l_linenumber)), 3) AS energy FROM lineitem")
+def variable_student_t(spark, sf_dir):
+    d = src.table(spark, sf_dir, "lineitem")
+    return d.agg(F.round(li.variable_student_t(F.col("l_discount").cast("double"), F.lit(0.05), 20.0 + F.col("l_linenumber"), 4.0), 3).alias("energy"))
+
+
+@query("SELECT round(sum(0.5 * (pow(30 * (l_discount - 0.05) + 10 * (l_tax - 0.04), 2) + pow(40 * (l_tax - 0.04), 2)) - ln(30) - ln(40)), 3) AS energy FROM lineitem")
+def vector_gaussian(spark, sf_dir):
+    r = [F.col("l_discount").cast("double") - 0.05, F.col("l_tax").cast("double") - 0.04]
+    root = [[F.lit(30.0), F.lit(0.0)], [F.lit(10.0), F.lit(40.0)]]
+    return src.table(spark, sf_dir, "lineitem").agg(F.round(li.vector_gaussian(r, root), 3).alias("energy"))
+
+
+@query("WITH x AS (SELECT floor(ln(p_retailprice / 500) / ln(5.0) * 40)::BIGINT AS cell FROM part WHERE p_retailprice >= 500), c AS (SELECT cell, count(*) AS n FROM x WHERE cell < 40 GROUP BY cell) SELECT cell, n, round(500 * exp((cell + 0.5) / 40 * ln(5.0)), 6) AS r, round(500 * exp((cell + 1) / 40.0 * ln(5.0)) - 500 * exp(cell / 40.0 * ln(5.0)), 6) AS width FROM c")
+def log_grid(spark, sf_dir):
+    axis = LogAxis(40, 500.0, 2500.0)
+    n = src.table(spark, sf_dir, "part").select(axis.cell(F.col("p_retailprice").cast("double")).alias("cell")).where("cell is not null").groupBy("cell").agg(F.count("*").alias("n"))
+    return n.select("cell", "n", r6(axis.coordinate(F.col("cell"))).alias("r"), r6(axis.volume(F.col("cell"))).alias("width"))
+
+
+@query(f"WITH {COUNTS} SELECT (i - 1) * 2 + c AS child, v FROM f, range(2) t(c) WHERE i BETWEEN 1 AND 718")
+def open_grid_children(spark, sf_dir):
+    f = src.counts_hour(spark, sf_dir).df
+    return f.select(F.explode(OpenAxis(720).children(F.col("i"))).alias("child"), "v")
