@@ -1,7 +1,10 @@
 """The corpus pipeline: documents without toxic ones, near copies, benchmark leaks and secrets, packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows are only
-dropped by what a stage finds: a row with a null doc_id can't be named by a finding and stays.
+dropped by what a stage finds: a row with a null doc_id can't be named by a finding and stays. In every stage null and empty texts are
+texts without findings and stay, very long texts are read whole, ties go to the least id, an empty table gives an empty one with the
+same columns, and columns beyond those of documents are left out, so that clashing names can't meet. Repeated rows of one id share its
+finding and stay or go together, but for near copies, which keeps one of them.
 """
 
 from __future__ import annotations
