@@ -1,10 +1,12 @@
 """Embedding near-dedup: NN-descent on a neighbour graph, links at a cosine threshold, components, exact link counts.
 
 Equal vectors are one node. The graph starts from random hyperplanes' leaves and is refined by joins of neighbours of neighbours;
-nodes whose whole list is within the threshold get longer lists. What these lists find is a first answer only: all nodes are then
-compared exactly with the nodes of other components, but for those that angles or a shared component rule out, and components are
-merged where there is a link, so none is lost. Links inside a component are counted exactly: a component is covered by
-balls of half the threshold's angle, in which all are linked, and only pairs of balls that angles leave open are compared.
+nodes whose whole list is within the threshold get longer lists. What these lists find is a first answer only, as lists are finite:
+nodes of different components then meet in the leaves of as many further trees as leave a pair at the threshold apart with a chance of
+at most MISS, and components with a link are merged. An audit follows: a bounded sample of nodes is compared exactly with all nodes;
+until one finds no link between components, the next round takes other trees. Links inside a component are counted exactly: a
+component is covered by balls of half the threshold's angle, in which all are linked, and only pairs of balls that angles leave open
+are compared.
 Edge cases: null, zero and non-finite vectors, and those with null components, are nodes without links; vectors of different
 lengths have no links; rows with a null id are ignored; of rows with the same id the least vector counts; empty tables give empty
 results; other columns are ignored.
@@ -20,14 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, runs_of, table
+from .common import checkpoint, components, forget, runs_of, table
 
 THRESHOLD = 0.95
 K, K_MOST, LEAF, TREES, ROUNDS = 8, 32, 48, 6, 2
 #: Vectors in a block that is compared with another.
 CHUNK = 256
-#: Bytes of vectors that the driver holds and shares at a time when nodes are compared with all others.
+#: Bytes of vectors that the driver holds and shares at a time when the audit compares nodes with all others.
 SLICE = 1 << 24
+#: Nodes in a leaf in which components meet, the chance that a pair at the threshold meets in none, nodes in an audit.
+MEET, MISS, AUDIT = 512, 1e-4, 2048
+#: Projections of a tree at most, and the error of a cosine of vectors rounded to half floats, at most.
+DEPTH, BAND = 62, 1.1e-3
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -216,13 +222,145 @@ def across(asked: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "a long, b long")
 
 
-def merged(label: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """label (id, component) after components and single nodes are merged with all that they link to."""
-    named = checkpoint(nodes.select("id", "dim", "x").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    pairs = across(named, named, threshold)
+def leaves_apart(named: DataFrame, bits: int, trees: int, seed: int, size: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(leaf, id, component), and the written tables it reads: for each tree, nodes with equal signs of `bits` random projections, in leaves with several components.
+
+    Leaves of over 4 * size nodes are split by further projections; those that no projection splits are dealt out by hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = 1 << np.arange(DEPTH, dtype=np.int64)[::-1]
+        for b in batches:
+            dim = b.column(1).to_numpy()
+            for d in np.unique(dim):
+                part = b.take(pa.array(np.flatnonzero(dim == d)))
+                m = _matrix(part.column(2))
+                rng = np.random.default_rng([17, seed, int(d)])
+                for tree in range(trees):
+                    code = (m @ rng.standard_normal((int(d), DEPTH)) > 0) @ power
+                    same = [pa.array(np.full(len(m), v), pa.int32()) for v in (tree, d)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(code, pa.int64()), part.column(0), part.column(3)], ["tree", "dim", "code", "id", "component"])
+
+    left = named.select("id", "dim", "x", "component").mapInArrow(run, "tree int, dim int, code long, id long, component long")
+    out, written = None, []
+    for depth in [*range(bits, DEPTH, 4), DEPTH]:
+        keyed = checkpoint(left.withColumn("leaf", F.xxhash64("tree", "dim", F.shiftright("code", DEPTH - depth), F.lit(depth))))
+        stat = keyed.groupBy("leaf").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        stat = checkpoint(stat.where("lo <> hi").select("leaf", "n"))
+        written += [keyed, stat]
+        keyed = keyed.join(stat, "leaf")
+        done = keyed.where(F.col("n") <= 4 * size).select("leaf", "id", "component")
+        out = done if out is None else out.unionByName(done)
+        left = keyed.where(F.col("n") > 4 * size).select("tree", "dim", "code", "id", "component", "n")
+        if left.isEmpty():
+            return out, written
+        if depth < DEPTH:
+            left = left.drop("n")
+    part = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / size))
+    return out.unionByName(left.select(F.xxhash64("tree", "dim", "code", part).alias("leaf"), "id", "component")), written
+
+
+def bridges(named: DataFrame, threshold: float, bits: int, trees: int, seed: int, size: int) -> DataFrame:
+    """(a, b): pairs of components with a link between nodes that share a leaf.
+
+    Vectors travel as half floats, whose error in a cosine has a bound (BAND); what lies within it of the threshold is compared again in
+    doubles. A leaf gives a spanning forest of its components' sure links, and all pairs in doubt between those still apart.
+    """
+
+    def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            small = [np.frombuffer(v, np.float64).astype(np.float16).tobytes() for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(small, pa.binary())], ["id", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, "leaf"):
+            k = t.column("leaf").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+            ids, component, h = t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("h").combine_chunks()
+            got = []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                m = np.frombuffer(b"".join(h.slice(lo, hi - lo).to_pylist()), np.float16).reshape(hi - lo, -1).astype(np.float32)
+                own = component[lo:hi]
+                sim = m @ m.T
+                i, j = np.nonzero(np.triu(sim >= threshold - BAND, 1) & (own[:, None] != own))
+                if not len(i):
+                    continue
+                # of the sure links of two components one is enough
+                sure = sim[i, j] >= threshold + BAND
+                names, at = np.unique(own, return_inverse=True)
+                pair = np.minimum(at[i], at[j]) * len(names) + np.maximum(at[i], at[j])
+                first = np.flatnonzero(sure)[np.unique(pair[sure], return_index=True)[1]]
+                order = np.concatenate([first, np.flatnonzero(~sure)])
+                up = {c: c for c in names.tolist()}
+
+                def root(c: int, up: dict[int, int] = up) -> int:
+                    while up[c] != c:
+                        up[c] = up[up[c]]
+                        c = up[c]
+                    return c
+
+                i, j = i + lo, j + lo
+                for u, v, s in zip(i[order].tolist(), j[order].tolist(), sure[order].tolist(), strict=True):
+                    a, b = root(int(component[u])), root(int(component[v]))
+                    if a != b:
+                        got.append((int(component[u]), int(component[v]), int(ids[u]), int(ids[v]), s))
+                        if s:
+                            up[a] = b
+            kinds = (pa.int64(),) * 4 + (pa.bool_(),)
+            names = ["a", "b", "u", "v", "sure"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in got], kind) for c, kind in enumerate(kinds)], names)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [float(np.frombuffer(x) @ np.frombuffer(y)) >= threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    leaves, written = leaves_apart(named, bits, trees, seed, size)
+    met = leaves.join(named.select("id", "x").mapInArrow(half, "id long, h binary"), "id")
+    found = checkpoint(met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long, u long, v long, sure boolean").distinct())
+    x = named.select("id", "x")
+    doubt = found.where("not sure").join(x.withColumnRenamed("id", "u").withColumnRenamed("x", "xu"), "u").join(x.withColumnRenamed("id", "v").withColumnRenamed("x", "xv"), "v")
+    again = doubt.select("a", "b", "xu", "xv").mapInArrow(verify, "a long, b long")
+    out = checkpoint(found.where("sure").select("a", "b").unionByName(again).distinct())
+    forget(*written, found)
+    return out
+
+
+def trees_for(threshold: float, bits: int, miss: float) -> int:
+    """Trees of `bits` projections of which a pair at the threshold shares no leaf with a chance of at most `miss`."""
+    together = (1 - math.acos(threshold) / math.pi) ** bits
+    return max(1, math.ceil(math.log(miss) / math.log1p(-together))) if together < 1 else 1
+
+
+def merged(label: DataFrame, nodes: DataFrame, threshold: float, size: int, miss: float, audit: int) -> DataFrame:
+    """label (id, component) of nodes with links, after components and single nodes are merged with those that they link to.
+
+    Rounds of `bridges` until an audit is clean: `audit` nodes of least hash, others in each round, are compared exactly with all nodes.
+    What an audit finds is merged too.
+    """
+    label = checkpoint(nodes.select("id").join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    bits = min(DEPTH, max(0, math.ceil(math.log2(max(1, nodes.count() / size)))))
+    turn = 0
+    while True:
+        turn += 1
+        named = checkpoint(nodes.select("id", "dim", "x").join(label, "id"))
+        label = renamed(label, bridges(named, threshold, bits, trees_for(threshold, bits, miss), turn, size))
+        forget(named)
+        named = nodes.select("id", "dim", "x").join(label, "id")
+        pairs = across(checkpoint(named.orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(audit)), named, threshold)
+        if pairs.isEmpty():
+            break
+        label = renamed(label, pairs)
+    several = checkpoint(label.groupBy("component").count().where("count > 1").select("component"))
+    return checkpoint(label.join(several, "component", "left_semi").select("id", "component"))
+
+
+def renamed(label: DataFrame, pairs: DataFrame) -> DataFrame:
+    """label after the components of `pairs` (a, b) are one."""
+    if pairs.isEmpty():
+        return label
     joined = components(pairs).select(F.col("id").alias("component"), F.col("component").alias("to"))
-    moved = named.select("id", "component").join(joined, "component", "left").join(label.select("id", F.lit(True).alias("linked")), "id", "left")
-    return checkpoint(moved.where("linked or to is not null").select("id", F.coalesce("to", "component").alias("component")))
+    return checkpoint(label.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
 def cover(members: DataFrame, threshold: float, rounds: int = 12) -> DataFrame:
@@ -295,7 +433,7 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     return inside.unionByName(whole).unionByName(across).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_dups(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, k: int = K, most: int = K_MOST, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
+def near_dups(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, k: int = K, most: int = K_MOST, trees: int = TREES, rounds: int = ROUNDS, meet: int = MEET, miss: float = MISS, audit: int = AUDIT) -> DataFrame:
     """vec_id, n_links, component_id, kept for each distinct id."""
     given = checkpoint(unit(vectors, vec_id, embedding).groupBy("vec_id").agg(F.min(F.struct("dim", "x")).alias("v")).select("vec_id", "v.dim", "v.x"))
     nodes = checkpoint(given.where("x is not null").groupBy("dim", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
@@ -305,7 +443,7 @@ def near_dups(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "e
     graph = checkpoint(_best(leaves.mapInArrow(_local_join("leaf", k, -1.5), "id long, nbr long, sim double"), k, most, threshold))
     for _ in range(rounds):
         graph = refine(graph, nodes, k, most, threshold)
-    label = merged(checkpoint(components(graph.where(F.col("sim") >= threshold), "id", "nbr")), nodes, threshold)
+    label = merged(checkpoint(components(graph.where(F.col("sim") >= threshold), "id", "nbr")), nodes, threshold, meet, miss, audit)
     members = checkpoint(label.join(nodes, "id").select("component", "id", "dim", "x", "weight"))
     counts = count_links(members, threshold)
     named = nodes.select("dim", "x", "id", "weight").join(label, "id", "left").join(counts, "id", "left")

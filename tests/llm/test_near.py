@@ -231,6 +231,27 @@ def test_embeddings_lose_no_isolated_pair(spark):
     assert {i: r["component_id"] for i, r in got.items()} == want and {i: r["n_links"] for i, r in got.items()} == n
 
 
+def test_components_meet_in_small_leaves(spark):
+    """Leaves that are split, dealt out by hash and hold several vector lengths; one round against brute force, without lists and audit."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((1200, 24))
+    x[600:] = x[:600] + rng.standard_normal((600, 24)) * 0.18
+    x[:80] = x[0] + rng.standard_normal((80, 24)) * 1e-9
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, 24, v.tobytes(), k) for k, v in enumerate(x)] + [(2000 + k, 2, np.array([1.0, k / 1e6]).tobytes(), 2000 + k) for k in range(40)]
+    named = spark.createDataFrame(rows, "id long, dim int, x binary, component long")
+    trees = embeddings.trees_for(0.95, 10, 1e-3)
+    found = [tuple(r) for r in embeddings.bridges(named, 0.95, 4, trees, 1, 16).collect()]
+    near = x @ x.T >= 0.95
+    true = {(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)}
+    assert 300 < len(true) and all((min(p), max(p)) in true or min(p) >= 2000 for p in found)
+    got, want = classes_of([r[0] for r in rows], found), classes_of([r[0] for r in rows], [*true, *((2000, 2000 + k) for k in range(1, 40))])
+    assert sum(got[k] != want[k] for k in got) <= 0.01 * len(got)
+    audited = embeddings.merged(spark.createDataFrame([], "id long, component long"), named.drop("component"), 0.95, 16, 0.5, 5000)
+    several = {k for k in want if list(want.values()).count(want[k]) > 1}
+    assert {r["id"]: r["component"] for r in audited.collect()} == {k: want[k] for k in several}
+
+
 def test_pipeline(spark, tiny):
     import corpus_pipeline
 
