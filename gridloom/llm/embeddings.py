@@ -36,9 +36,33 @@ MEET, MISS, AUDIT = 512, 1e-4, 2048
 DEPTH, BAND = 62, 1.1e-3
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of doubles of a binary column whose values have equal lengths."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    """Rows of numbers of a binary column whose values have equal lengths."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def halved(nodes: DataFrame) -> DataFrame:
+    """(id, dim, h): the vectors as bytes of half floats, which move a quarter of the bytes and keep cosines to BAND."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            small = [np.frombuffer(v, np.float64).astype(np.float16).tobytes() for v in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(small, pa.binary())], ["id", "dim", "h"])
+
+    return nodes.select("id", "dim", "x").mapInArrow(run, "id long, dim int, h binary")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, u, v) whose nodes u and v have a cosine of doubles of at least the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [float(np.frombuffer(x) @ np.frombuffer(y)) >= threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    x = nodes.select("id", "x")
+    both = pairs.join(x.withColumnRenamed("id", "u").withColumnRenamed("x", "xu"), "u").join(x.withColumnRenamed("id", "v").withColumnRenamed("x", "xv"), "v")
+    return both.select("a", "b", "xu", "xv").mapInArrow(run, "a long, b long")
 
 
 def unit(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -69,14 +93,14 @@ def _local_join(key: str, k_out: int, floor: float):
             k = t.column(key).to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
             ids, dim, most = t.column("id").to_numpy(), t.column("dim").to_numpy(), t.column("most").to_numpy()
-            x = t.column("x").combine_chunks()
+            h = t.column("h").combine_chunks()
             a, b, s = [], [], []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 if hi - lo < 2:
                     continue
                 for d in np.unique(dim[lo:hi]):
                     at = lo + np.flatnonzero(dim[lo:hi] == d)
-                    m = _matrix(x.take(pa.array(at)))
+                    m = _matrix(h.take(pa.array(at)), np.float16).astype(np.float32)
                     own, n = ids[at], len(at)
                     if n < 2:
                         continue
@@ -89,7 +113,7 @@ def _local_join(key: str, k_out: int, floor: float):
                     good = sim > floor
                     a.append(own[rows[good]])
                     b.append(own[best.ravel()[good]])
-                    s.append(sim[good])
+                    s.append(sim[good].astype(float))
             cat = lambda z, kind: pa.array(np.concatenate(z) if z else [], kind)
             yield pa.RecordBatch.from_arrays([cat(a, pa.int64()), cat(b, pa.int64()), cat(s, pa.float64())], ["id", "nbr", "sim"])
 
@@ -114,7 +138,7 @@ def _best(edges: DataFrame, k: int, most: int, threshold: float) -> DataFrame:
 
 
 def start(nodes: DataFrame, bits: int, trees: int) -> DataFrame:
-    """(leaf, id, dim, x): a leaf for each tree, by the signs of random projections. Large leaves are dealt out by hash."""
+    """(leaf, id, dim, h): a leaf for each tree, by the signs of random projections. Large leaves are dealt out by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -129,17 +153,17 @@ def start(nodes: DataFrame, bits: int, trees: int) -> DataFrame:
                     if len(planes) >= 64:
                         planes.clear()
                     planes[int(d)] = np.random.default_rng([17, 0, int(d)]).standard_normal((int(d), trees * bits))
-                side = (_matrix(part.column(2)) @ planes[int(d)] > 0).reshape(-1, trees, bits)
+                side = (_matrix(part.column(2), np.float16).astype(float) @ planes[int(d)] > 0).reshape(-1, trees, bits)
                 code = (side * power).sum(2) + (np.arange(trees, dtype=np.int64) + 1 << 40)
                 rows = pa.array(np.repeat(np.arange(part.num_rows), trees))
-                out.append(pa.RecordBatch.from_arrays([pa.array(code.ravel()), *(c.take(rows) for c in part.columns)], ["leaf", "id", "dim", "x"]))
+                out.append(pa.RecordBatch.from_arrays([pa.array(code.ravel()), *(c.take(rows) for c in part.columns)], ["leaf", "id", "dim", "h"]))
             yield from out
 
-    leaves = nodes.select("id", "dim", "x").mapInArrow(run, "leaf long, id long, dim int, x binary")
+    leaves = nodes.select("id", "dim", "h").mapInArrow(run, "leaf long, id long, dim int, h binary")
     size = leaves.groupBy("leaf").count()
     size = size.select("leaf", F.ceil(F.col("count") / (2 * LEAF)).alias("parts"))
     salted = leaves.join(checkpoint(size), "leaf").withColumn("leaf", F.xxhash64("leaf", F.pmod(F.xxhash64("id", "leaf"), F.col("parts"))))
-    return salted.select("leaf", "id", "dim", "x", F.lit(0).alias("most"))
+    return salted.select("leaf", "id", "dim", "h", F.lit(0).alias("most"))
 
 
 def refine(graph: DataFrame, nodes: DataFrame, k: int, most: int, threshold: float) -> DataFrame:
@@ -147,8 +171,8 @@ def refine(graph: DataFrame, nodes: DataFrame, k: int, most: int, threshold: flo
     into = graph.groupBy(F.col("nbr").alias("at"), F.pmod(F.xxhash64("id"), F.lit(k)).alias("slot")).agg(F.max(F.struct("sim", "id")).alias("m")).select("at", F.col("m.id").alias("id"))
     full = graph.groupBy("id").agg(F.min(F.when(F.col("sim") >= threshold, F.lit(1)).otherwise(0)).alias("saturated"))
     meet = graph.select(F.col("id").alias("at"), F.col("nbr").alias("id")).unionByName(into).unionByName(graph.select(F.col("id").alias("at"), "id")).distinct()
-    meet = meet.join(full.select("id", F.when(F.col("saturated") == 1, F.lit(most)).otherwise(F.lit(k)).alias("most")), "id", "left").join(nodes.select("id", "dim", "x"), "id")
-    meet = meet.select("at", "id", "dim", "x", F.coalesce("most", F.lit(k)).alias("most")).repartition("at").sortWithinPartitions("at")
+    meet = meet.join(full.select("id", F.when(F.col("saturated") == 1, F.lit(most)).otherwise(F.lit(k)).alias("most")), "id", "left").join(nodes.select("id", "dim", "h"), "id")
+    meet = meet.select("at", "id", "dim", "h", F.coalesce("most", F.lit(k)).alias("most")).repartition("at").sortWithinPartitions("at")
     found = meet.mapInArrow(_local_join("at", k, 0.3 * threshold), "id long, nbr long, sim double")
     return checkpoint(_best(graph.unionByName(found), k, most, threshold))
 
@@ -267,11 +291,6 @@ def bridges(named: DataFrame, threshold: float, bits: int, trees: int, seed: int
     doubles. A leaf gives a spanning forest of its components' sure links, and all pairs in doubt between those still apart.
     """
 
-    def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            small = [np.frombuffer(v, np.float64).astype(np.float16).tobytes() for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(small, pa.binary())], ["id", "h"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, "leaf"):
             k = t.column("leaf").to_numpy()
@@ -279,7 +298,7 @@ def bridges(named: DataFrame, threshold: float, bits: int, trees: int, seed: int
             ids, component, h = t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("h").combine_chunks()
             got = []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                m = np.frombuffer(b"".join(h.slice(lo, hi - lo).to_pylist()), np.float16).reshape(hi - lo, -1).astype(np.float32)
+                m = _matrix(h.slice(lo, hi - lo), np.float16).astype(np.float32)
                 own = component[lo:hi]
                 sim = m @ m.T
                 i, j = np.nonzero(np.triu(sim >= threshold - BAND, 1) & (own[:, None] != own))
@@ -310,17 +329,10 @@ def bridges(named: DataFrame, threshold: float, bits: int, trees: int, seed: int
             names = ["a", "b", "u", "v", "sure"]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in got], kind) for c, kind in enumerate(kinds)], names)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [float(np.frombuffer(x) @ np.frombuffer(y)) >= threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
     leaves, written = leaves_apart(named, bits, trees, seed, size)
-    met = leaves.join(named.select("id", "x").mapInArrow(half, "id long, h binary"), "id")
+    met = leaves.join(halved(named).select("id", "h"), "id")
     found = checkpoint(met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "a long, b long, u long, v long, sure boolean").distinct())
-    x = named.select("id", "x")
-    doubt = found.where("not sure").join(x.withColumnRenamed("id", "u").withColumnRenamed("x", "xu"), "u").join(x.withColumnRenamed("id", "v").withColumnRenamed("x", "xv"), "v")
-    again = doubt.select("a", "b", "xu", "xv").mapInArrow(verify, "a long, b long")
+    again = verified(found.where("not sure"), named, threshold)
     out = checkpoint(found.where("sure").select("a", "b").unionByName(again).distinct())
     forget(*written, found)
     return out
@@ -439,11 +451,17 @@ def near_dups(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "e
     nodes = checkpoint(given.where("x is not null").groupBy("dim", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
     n = nodes.count()
     bits = max(1, min(38, round(math.log2(max(2, n / LEAF)))))
-    leaves = start(nodes, bits, trees).repartition("leaf").sortWithinPartitions("leaf")
+    small = checkpoint(halved(nodes))
+    leaves = start(small, bits, trees).repartition("leaf").sortWithinPartitions("leaf")
     graph = checkpoint(_best(leaves.mapInArrow(_local_join("leaf", k, -1.5), "id long, nbr long, sim double"), k, most, threshold))
     for _ in range(rounds):
-        graph = refine(graph, nodes, k, most, threshold)
-    label = merged(checkpoint(components(graph.where(F.col("sim") >= threshold), "id", "nbr")), nodes, threshold, meet, miss, audit)
+        before, graph = graph, refine(graph, small, k, most, threshold)
+        forget(before)
+    doubt = graph.where(F.abs(F.col("sim") - threshold) <= BAND).select(F.col("id").alias("a"), F.col("nbr").alias("b"), F.col("id").alias("u"), F.col("nbr").alias("v"))
+    edges = checkpoint(graph.where(F.col("sim") > threshold + BAND).select(F.col("id").alias("a"), F.col("nbr").alias("b")).unionByName(verified(doubt, nodes, threshold)))
+    forget(graph, small)
+    label = merged(checkpoint(components(edges)), nodes, threshold, meet, miss, audit)
+    forget(edges)
     members = checkpoint(label.join(nodes, "id").select("component", "id", "dim", "x", "weight"))
     counts = count_links(members, threshold)
     named = nodes.select("dim", "x", "id", "weight").join(label, "id", "left").join(counts, "id", "left")
