@@ -14,6 +14,7 @@ results; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 import unicodedata
@@ -167,6 +168,22 @@ class Decoder:
         done = [(s + self.model[a][b][0], h, w) for (a, b, _), paths in states.items() for s, h, w in paths]
         return list(dict.fromkeys(self._word(w) for _, _, w in heapq.nlargest(2 * self.keep, done, key=lambda p: p[0])))
 
+    def absorbed(self, word: str) -> str:
+        """`decode(word)[0]` of a word of letters without look-alikes: only repetitions can be absorbed, so all readings are scored."""
+        runs = [(c, len(list(same))) for c, same in itertools.groupby(word)]
+        if math.prod(n for _, n in runs) > 64:
+            return (self.decode(word) or [word])[0]
+        model, absorb = self.model, COSTS[3]
+        states = [(0.0, 0, 0, "")]
+        for c, n in runs:
+            k, new = self.code.get(c, 1), []
+            for s, a, b, w in states:
+                for m in range(1, n + 1):
+                    s, a, b, w = s + model[a][b][k], b, k, w + c
+                    new.append((s - absorb * (n - m), a, b, w))
+            states = new
+        return max((s + model[a][b][0], w) for s, a, b, w in states)[1]
+
     @staticmethod
     def _word(w: tuple | None) -> str:
         out = []
@@ -183,12 +200,16 @@ def suspicious(core: str) -> bool:
     return letters > 0 and letters + signs == len(core) and letters * 3 >= signs
 
 
+def _feature(kind: str, part: str) -> int:
+    return xxhash.xxh64_intdigest((kind + part).encode("utf-8", "surrogatepass")) >> 1
+
+
 def features(word: str) -> list[int]:
     """Hashes of the word and of its beginnings of 3 to 7 letters."""
     n = len(word)
     if n < 3:
         return []
-    return [xxhash.xxh64_intdigest(("=" + word).encode("utf-8", "surrogatepass")) >> 1] + [xxhash.xxh64_intdigest((f"{k}" + word[:k]).encode("utf-8", "surrogatepass")) >> 1 for k in range(3, min(n, 7) + 1)]
+    return [_feature("=", word)] + [_feature(str(k), word[:k]) for k in range(3, min(n, 7) + 1)]
 
 
 class Reader:
@@ -209,7 +230,7 @@ class Reader:
         core = token.strip(PUNCTUATION)
         if core.isalpha():
             # only repetitions can be absorbed: the likeliest reading, where that isn't the token itself
-            return {core, *self.decoder.decode(core)[:1]} if DOUBLE.search(core) else {core}
+            return {core, self.decoder.absorbed(core)} if DOUBLE.search(core) else {core}
         out = set(PART.findall(token))
         # signs at the ends can stand for letters too ("a$$"), but not rows of three ("word$$$")
         edge = token.strip(".,;:?%&#*\"")
@@ -221,16 +242,21 @@ class Reader:
     def token(self, token: str):
         got = self.known.get(token)
         if got is None:
+            core = token.strip(PUNCTUATION)
+            # a word of letters reads alike whatever signs surround it
+            got = self.token(core) if core != token and core.isalpha() else [v for w in self.words(token) if (v := self.of(w)) is not None] or ()
             if len(self.known) >= self.most:
                 self.known.clear()
-            got = self.known[token] = [v for w in self.words(token) if (v := self.of(w)) is not None] or ()
+            self.known[token] = got
         return got
 
     def read(self, text: str) -> list:
         low = fold(text)
         out: list = []
         for t in set(low.split()):
-            if v := self.token(t):
+            if (v := self.known.get(t)) is None:
+                v = self.token(t)
+            if v:
                 out += v
         if len(low) > 6 and (spaced := SPACED.findall(low)):
             for s in set(spaced):
@@ -287,10 +313,24 @@ def lexicon(labelled: DataFrame, model: np.ndarray, totals: tuple[int, int]) ->
 
 
 def weigher(weights: dict[int, float]):
-    """word -> (weight of its strongest feature), None without one."""
+    """word -> (weight of its strongest feature), None without one. Weights of beginnings are remembered."""
+    known: dict[str, float | None] = {}
 
     def of(word: str) -> float | None:
-        return max((w for f in features(word) if (w := weights.get(f)) is not None), default=None)
+        if len(word) < 3:
+            return None
+        best = weights.get(_feature("=", word))
+        for k in range(3, min(len(word), 7) + 1):
+            start = word[:k]
+            if start in known:
+                w = known[start]
+            else:
+                if len(known) >= Reader.most:
+                    known.clear()
+                w = known[start] = weights.get(_feature(str(k), start))
+            if w is not None and (best is None or w > best):
+                best = w
+        return best
 
     return of
 

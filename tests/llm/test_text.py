@@ -398,3 +398,11 @@ def test_decontamination_edits_and_parts(spark):
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench, part=0.0, part_chars=chars).collect()}
         assert got == want
     assert decontaminate.find(df.limit(0), bench).count() == 0 and decontaminate.find(df, bench.limit(0)).count() == 0
+
+
+def test_absorbed_repetitions_as_the_decoder_reads_them():
+    rng = np.random.default_rng(5)
+    decoder = toxicity.Decoder(toxicity.language_model(rng.integers(0, 50, (toxicity.SIDE,) * 3).astype(float)))
+    words = ["".join(c * int(n) for c, n in zip(rng.choice(list("abeiostxéж"), 6), rng.choice([1, 1, 2, 3], 6), strict=True)) for _ in range(300)]
+    for w in [*words, "a" * 200, "ab"]:
+        assert decoder.absorbed(w) == (decoder.decode(w) or [w])[0]
