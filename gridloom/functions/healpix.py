@@ -209,3 +209,35 @@ def vector_to_angle(x: Column, y: Column, z: Column) -> Column:
     """struct(z, phi) of a vector of any length but zero; null for zero."""
     length = F.sqrt(x * x + y * y + z * z)
     return F.struct((z / F.when(length > 0, length)).alias("z"), F.pmod(F.atan2(y, x), F.lit(2 * math.pi)).alias("phi"))
+
+
+def neighbours(cell: Column, nside: int) -> Column:
+    """The cells around a cell, from the southwest clockwise; at the corners where three faces meet there are seven."""
+    steps = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+    return let(cell, lambda c: F.filter(F.array(*(_beside(c, dx, dy, nside) for dx, dy in steps)), lambda n: n.isNotNull()))
+
+
+def _beside(cell: Column, dx: int, dy: int, nside: int) -> Column:
+    n, q, row = _n(nside), F.pmod(cell["face"], _n(4)), _div(cell["face"], _n(4))
+    x, y = cell["x"] + dx, cell["y"] + dy
+    wx, wy = F.pmod(x, n), F.pmod(y, n)
+    east, north = _div(x, n), _div(y, n)  # -1, 0 or 1: over which edges of the face
+    left, right, across = F.pmod(q + 3, _n(4)), F.pmod(q + 1, _n(4)), F.pmod(q + 2, _n(4))
+    top, low = _n(nside - 1), _n(0)
+
+    def over(a: int, b: int) -> Column:
+        return (east == a) & (north == b)
+
+    polar = (  # around the north pole faces turn by a quarter
+        F.when(over(1, 0), _cell(right, wy, top)).when(over(0, 1), _cell(left, top, wx)).when(over(1, 1), _cell(across, top, top))
+        .when(over(0, -1), _cell(4 + right, wx, wy)).when(over(-1, 0), _cell(4 + q, wx, wy)).when(over(-1, -1), _cell(8 + q, wx, wy))
+    )
+    belt = (
+        F.when(over(1, 0), _cell(q, wx, wy)).when(over(0, 1), _cell(left, wx, wy)).when(over(0, -1), _cell(8 + q, wx, wy)).when(over(-1, 0), _cell(8 + left, wx, wy))
+        .when(over(1, -1), _cell(4 + right, wx, wy)).when(over(-1, 1), _cell(4 + left, wx, wy))
+    )
+    austral = (
+        F.when(over(1, 0), _cell(4 + right, wx, wy)).when(over(0, 1), _cell(4 + q, wx, wy)).when(over(1, 1), _cell(q, wx, wy))
+        .when(over(0, -1), _cell(8 + right, low, wx)).when(over(-1, 0), _cell(8 + left, wy, low)).when(over(-1, -1), _cell(8 + across, low, low))
+    )
+    return F.when(over(0, 0), _cell(cell["face"], x, y)).when(row == 0, polar).when(row == 1, belt).otherwise(austral)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pointwise as pw
 from ..sources.fields import Axis, Field, full
 
 # selection and shape
@@ -203,6 +204,43 @@ def line_of_sight(field: Field, lines: DataFrame, steps: int, order: int = 1) ->
     return whole.join(sums, "p", "left").select("p", F.when(F.col("whole"), F.col("v")).otherwise(float("nan")).alias("v"))
 
 
+def path_lengths(axes: tuple[Axis, ...], lines: DataFrame, truncation: float = 3.0) -> DataFrame:
+    """(p, axes, w): the length of each segment (p, a_<axis>, b_<axis>) in each cell it crosses, exactly.
+
+    Cell k reaches half a distance to either side of k * distance; parts outside the grid have no rows. With a column sigma, the error of
+    the inverse of the length, a segment goes on to `truncation` errors beyond its end, and parts count by the chance that it gets there.
+    """
+    length = F.sqrt(reduce(lambda u, v: u + v, [F.pow(F.col("b_" + a.name) - F.col("a_" + a.name), 2) for a in axes]))
+    rows, uncertain = lines.withColumn("_mid", length), "sigma" in lines.columns
+    rows = rows.withColumn("_far", 1 / (1 / F.col("_mid") - truncation * F.col("sigma")) if uncertain else F.col("_mid"))
+    at = {a.name: F.col("a_" + a.name) / a.distance + 0.5 for a in axes}
+    step = {a.name: (F.col("b_" + a.name) - F.col("a_" + a.name)) / a.distance * (F.col("_far") / F.col("_mid")) for a in axes}
+
+    def crossings(a: Axis) -> Column:
+        s, d = at[a.name], step[a.name]
+        low, high = F.greatest(F.ceil(F.least(s, s + d)), F.lit(0)), F.least(F.floor(F.greatest(s, s + d)), F.lit(a.size))
+        some = (d != 0) & (low <= high)
+        t = F.transform(F.sequence(F.when(some, low), F.when(some, high)), lambda c: (c - s) / d)
+        return F.coalesce(F.filter(t, lambda x: (x > 0) & (x < 1)), F.array().cast("array<double>"))
+
+    cuts = rows.where("_mid > 0").withColumn("_t", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), *(crossings(a) for a in axes)))))
+    parts = cuts.withColumn("_s", F.explode(F.arrays_zip(F.expr("slice(_t, 1, size(_t) - 1)").alias("t0"), F.expr("slice(_t, 2, size(_t) - 1)").alias("t1"))))
+    middle = (F.col("_s.t0") + F.col("_s.t1")) / 2
+    weight = (F.col("_s.t1") - F.col("_s.t0")) * F.col("_far")
+    if uncertain:
+        near = 1 / (1 / F.col("_mid") + truncation * F.col("sigma"))
+        r = middle * F.col("_far")
+        weight = weight * F.when((r > near) & (F.col("sigma") > 0), pw.normal_cdf((1 / r - 1 / F.col("_mid")) / F.col("sigma"))).otherwise(1.0)
+    cells = parts.select("p", *(F.floor(at[a.name] + middle * step[a.name]).cast("long").alias(a.name) for a in axes), weight.alias("w"))
+    return cells.where(reduce(lambda u, v: u & v, [F.col(a.name).between(0, a.size - 1) for a in axes]))
+
+
+def exact_line_of_sight(field: Field, lines: DataFrame, truncation: float = 3.0) -> DataFrame:
+    """(p, v): integrals along segments by `path_lengths`; zero for what lies outside."""
+    sums = path_lengths(field.axes, lines, truncation).join(field.df, field.names).groupBy("p").agg(F.sum(F.col("w") * F.col(field.value)).alias("v"))
+    return lines.select("p").join(sums, "p", "left").select("p", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
 # grids
 
 

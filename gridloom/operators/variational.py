@@ -187,3 +187,76 @@ def hmc(energy: Energy, x: DataFrame, samples: int, step: float, steps: int, see
             x, value, accepted = y, new, accepted + 1
         out.append(x)
     return out, accepted / max(samples, 1)
+
+
+def nuts(energy: Energy, x: DataFrame, samples: int, step: float, depth: int = 8, seed: int = 0) -> list[DataFrame]:
+    """A chain of samples of exp(-energy) by trajectories that double until they turn back, 2^depth steps at most."""
+    index, out = energy.index, []
+    chance = np.random.default_rng(seed)
+
+    def back(a: tuple, b: tuple) -> bool:
+        d = add(b[0], a[0], index, 1.0, -1.0)
+        return dot(d, a[1], index) < 0 or dot(d, b[1], index) < 0
+
+    def tree(end: tuple, level: float, sign: int, height: int) -> tuple:
+        """(first end, last end, a state drawn from those above the level, how many are, whether to go on)."""
+        if not height:
+            y, q = leapfrog(energy, *end, sign * step, 1)
+            reached = -energy.value(y) - 0.5 * norm(q) ** 2
+            return (y, q), (y, q), y, int(level <= reached), level < reached + 1000
+        a, b, y, n, go = tree(end, level, sign, height - 1)
+        if go:
+            c, d, z, more, go = tree(a if sign < 0 else b, level, sign, height - 1)
+            a, b = (c, b) if sign < 0 else (a, d)
+            if more and chance.random() < more / (n + more):
+                y = z
+            n, go = n + more, go and not back(a, b)
+        return a, b, y, n, go
+
+    x = cut(x.select(*index, "v"))
+    for k in range(samples):
+        p = cut(white(x, index, (seed, k)))
+        level = -energy.value(x) - 0.5 * norm(p) ** 2 - chance.exponential()
+        a = b = (x, p)
+        n = 1
+        for height in range(depth):
+            sign = 1 if chance.random() < 0.5 else -1
+            c, d, y, more, go = tree(a if sign < 0 else b, level, sign, height)
+            a, b = (c, b) if sign < 0 else (a, d)
+            if go and more and chance.random() < more / n:
+                x = y
+            n += more
+            if not go or back(a, b):
+                break
+        out.append(x)
+    return out
+
+
+def mean_field(energy: Energy, x: DataFrame, rounds: int, samples: int = 2, rate: float = 0.1, seed: int = 0) -> DataFrame:
+    """(index, v, std): independent normal numbers that come closest to exp(-energy), by adaptive steps along the evidence bound.
+
+    Draws come in mirrored pairs and are new in each round. The rate falls with the root of the rounds.
+    """
+    index = energy.index
+    state = cut(x.select(*index, F.col("v").cast("double").alias("v"), *(F.lit(0.0).alias(c) for c in ("ls", "m1", "m2", "s1", "s2"))))
+    for k in range(rounds):
+        parts = []
+        for s in range(samples):
+            z = white(state, index, (seed, k, s))
+            for sign in (1.0, -1.0):
+                noise = z.select(*index, (F.col("v") * sign).alias("_z"))
+                at = state.select(*index, "v", "ls").join(noise, list(index)).select(*index, (F.col("v") + F.exp("ls") * F.col("_z")).alias("v"))
+                parts.append(energy.gradient(cut(at)).select(*index, F.col("v").alias("g")).join(noise, list(index)))
+        total = parts[0]
+        for p in parts[1:]:
+            total = total.unionByName(p)
+        n = 2 * samples
+        slopes = total.groupBy(*index).agg((F.sum("g") / n).alias("g1"), (F.sum(F.col("g") * F.col("_z")) / n).alias("g2"))
+        new = state.join(slopes, list(index), "left").withColumn("g1", F.coalesce("g1", F.lit(0.0))).withColumn("g2", F.coalesce("g2", F.lit(0.0)) * F.exp("ls") - 1)
+        for a in ("1", "2"):
+            new = new.withColumns({"m" + a: 0.9 * F.col("m" + a) + 0.1 * F.col("g" + a), "s" + a: 0.99 * F.col("s" + a) + 0.01 * F.pow("g" + a, F.lit(2.0))})
+        c1, c2, size = 1 - 0.9 ** (k + 1), 1 - 0.99 ** (k + 1), rate / math.sqrt(1 + k / 10)
+        move = {c: F.col(c) - size * (F.col("m" + a) / c1) / (F.sqrt(F.col("s" + a) / c2) + 1e-8) for c, a in (("v", "1"), ("ls", "2"))}
+        before, state = state, cut(new.withColumns(move).select(*index, "v", "ls", "m1", "m2", "s1", "s2"))
+        forget(before)
+    return state.select(*index, "v", F.exp("ls").alias("std"))

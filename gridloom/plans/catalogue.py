@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,17 +11,21 @@ from ..functions import healpix as hp
 from ..functions import numeric as nu
 from ..functions import pointwise as pw
 from ..operators import algebra as al
+from ..operators import correlated as co
 from ..operators import energies as en
 from ..operators import fields as fo
 from ..operators import harmonic as ha
 from ..operators import inference
 from ..operators import likelihoods as li
+from ..operators import nonuniform as no
 from ..operators import processes as pr
-from ..operators import solvers, spectra
+from ..operators import refinement as re
+from ..operators import solvers, spectra, sphere
 from ..sources import fields as src
 from ..sources import samples
-from ..sources.domains import LogAxis, OpenAxis, Power, Regular, bounds_of
+from ..sources.domains import LogAxis, Modes, OpenAxis, Pixels, Power, Regular, bounds_of
 from ..sources.fields import Axis, Field
+from ..streaming import statistics as st
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -193,6 +199,17 @@ _PTW = {
 }
 
 
+@query(f"""WITH {GRID}, l AS (SELECT p, 0.7::DOUBLE AS ai, (0.2 * p + 0.05)::DOUBLE / 0.25 + 0.5 AS aj, 14.4::DOUBLE AS si, (CASE WHEN p = 15 THEN 9.0 ELSE 3.9 - 0.2 * p END - 0.2 * p - 0.05)::DOUBLE / 0.25 AS sj FROM range(16) r(p)),
+t AS (SELECT p, 0.0::DOUBLE AS t FROM l UNION SELECT p, 1.0::DOUBLE FROM l UNION SELECT p, (c - ai) / si FROM l, range(64) r(c) WHERE (c - ai) / si BETWEEN 0 AND 1 UNION SELECT p, (c - aj) / sj FROM l, range(64) r(c) WHERE (c - aj) / sj BETWEEN 0 AND 1),
+s AS (SELECT p, t AS t0, lead(t) OVER (PARTITION BY p ORDER BY t) AS t1 FROM t),
+m AS (SELECT p, floor(ai + (t0 + t1) / 2 * si)::BIGINT AS i, floor(aj + (t0 + t1) / 2 * sj)::BIGINT AS j, (t1 - t0) * sqrt(pow(si * 0.5, 2) + pow(sj * 0.25, 2)) AS w FROM s JOIN l USING (p) WHERE t1 IS NOT NULL),
+z AS (SELECT p, sum(w * v) AS v FROM m JOIN f USING (i, j) GROUP BY p) SELECT l.p, round(coalesce(z.v, 0), 5) AS v FROM l LEFT JOIN z USING (p)""")
+def los_exact(spark, sf_dir):
+    end = F.when(F.col("id") == 15, 9.0).otherwise(3.9 - 0.2 * F.col("id"))
+    lines = spark.range(16).select(F.col("id").alias("p"), F.lit(0.1).alias("a_i"), (0.2 * F.col("id") + 0.05).alias("a_j"), F.lit(7.3).alias("b_i"), end.alias("b_j"))
+    return fo.exact_line_of_sight(src.grid2d(spark, sf_dir), lines).select("p", F.round("v", 5).alias("v"))
+
+
 def _ptw(name: str):
     sql = ", ".join(f"round({x}, 6)::DOUBLE AS {k}" for k, x in _PTW[name].items())
 
@@ -289,15 +306,16 @@ def power_spectrum(spark, sf_dir):
     return spectra.power_spectrum(rows, "s").select("s", "k", r6("power").alias("power"))
 
 
-@query()
+@query(f"WITH {EMB}, g AS (SELECT d, sum(exp(-8 * pi() * pi() * pow(least(k, 64 - k) / 64.0, 2)) * cos(2 * pi() * k * d / 64)) / 64 AS w FROM range(64) t(k), range(64) u(d) GROUP BY d) SELECT f.s, ((f.j + g.d) % 64)::INT AS j, round(sum(g.w * f.v), 6) + 0.0 AS v FROM f, g GROUP BY 1, 2")
 def smooth_gaussian(spark, sf_dir):
     rows = spectra.rows_of(src.emb(spark, sf_dir).df, "s", "j")
-    return spectra.smooth(rows, "s", 2.0).select("s", F.posexplode("values").alias("j", "v"))
+    return spectra.smooth(rows, "s", 2.0).select("s", F.posexplode("values").alias("j", "v")).select("s", "j", (r6("v") + 0.0).alias("v"))
 
 
-@query()
+@query(f"WITH {COUNTS}, g AS (SELECT d, sum(cos(2 * pi() * k * d / 720) / (0.35 - 0.1 * cos(2 * pi() * k / 720))) / 720 AS w FROM range(720) t(k), range(720) u(d) GROUP BY d) SELECT (f.i + g.d) % 720 AS i, round(sum(g.w * f.v / 4), 5) AS v FROM f, g GROUP BY 1")
 def wiener_filter(spark, sf_dir):
-    return solvers.wiener_filter(src.counts_hour(spark, sf_dir).df.select("i", F.col("v").cast("double")), 0.05, 4.0, src.HOURS, iterations=25)
+    got = solvers.wiener_filter(src.counts_hour(spark, sf_dir).df.select("i", F.col("v").cast("double")), 0.05, 4.0, src.HOURS, iterations=25)
+    return got.select("i", F.round("v", 5).alias("v"))
 
 
 @query(f"WITH {COUNTS} SELECT i, unnest(range(2 * i, 2 * i + 2)) AS child FROM f")
@@ -526,3 +544,83 @@ def log_grid(spark, sf_dir):
 def open_grid_children(spark, sf_dir):
     f = src.counts_hour(spark, sf_dir).df
     return f.select(F.explode(OpenAxis(720).children(F.col("i"))).alias("child"), "v")
+
+
+# spectra bin by bin, refinement, the sphere, points off the grid, streams
+
+_LINE = Regular((64,), (1.0,), names=("j",))
+_WIENER_PATH = """x AS (SELECT s, (2 + j // 2)::BIGINT AS bin, max(v) FILTER (WHERE j % 2 = 0) AS x0, max(v) FILTER (WHERE j % 2 = 1) AS x1 FROM f WHERE j < 62 GROUP BY 1, 2),
+e AS (SELECT *, ln(bin) - ln(bin - 1) AS dt, 0.4 * sqrt(ln(bin) - ln(bin - 1)) * x1 AS ds FROM x),
+g AS (SELECT *, sum(ds) OVER (PARTITION BY s ORDER BY bin ROWS UNBOUNDED PRECEDING) AS sl FROM e),
+h AS (SELECT *, 0.4 * sqrt(dt) * x0 * sqrt(dt * dt / 12 + 0.2) + dt * coalesce(lag(sl) OVER (PARTITION BY s ORDER BY bin), 0) + 0.5 * dt * ds AS dx FROM g),
+p AS (SELECT s, bin, sum(dx) OVER (PARTITION BY s ORDER BY bin ROWS UNBOUNDED PRECEDING) AS x FROM h UNION ALL SELECT DISTINCT s, 1, 0.0 FROM x),
+l AS (SELECT s, max(x) FILTER (WHERE bin = 32) AS last FROM p GROUP BY s),
+q AS (SELECT p.s, p.bin, CASE WHEN p.bin = 32 THEN 1 ELSE 2 END AS rho, exp(-1.5 * ln(p.bin) + p.x - l.last * ln(p.bin) / ln(32)) AS y FROM p JOIN l USING (s)),
+n AS (SELECT s, sum(rho * y * y) AS n FROM q GROUP BY s)"""
+
+
+@query(f"WITH {EMB}, {_WIENER_PATH} SELECT s, bin, round(0.7 * 64 / sqrt(n) * y, 6) AS v FROM q JOIN n USING (s) UNION ALL SELECT DISTINCT s, 0, 64 FROM f")
+def nonparametric_amplitude(spark, sf_dir):
+    f = src.emb(spark, sf_dir).df.where("j < 62")
+    xi = f.groupBy("s", (2 + F.floor(F.col("j") / 2)).alias("bin")).agg(F.max(F.when(F.col("j") % 2 == 0, F.col("v"))).alias("xi0"), F.max(F.when(F.col("j") % 2 == 1, F.col("v"))).alias("xi1"))
+    return co.nonparametric_amplitude(spark, _LINE, -1.5, 0.7, xi, 0.4, 0.2).select("s", "bin", r6("v").alias("v"))
+
+
+_SPACE_I, _SPACE_J = Regular((16,), (0.5,), names=("i",)), Regular((16,), (0.25,), names=("j",))
+
+
+@query(f"""WITH {GRID}, n AS (SELECT sum(CASE WHEN q = 8 THEN 1 ELSE 2 END * pow(q, -3)) AS n FROM range(1, 9) t(q)),
+a AS (SELECT i AS k, j AS q, 0.5 * v * CASE WHEN i = 0 THEN 8 ELSE 2 * 0.7 * sqrt(8) * exp(-0.75 * ln(1 + pow(least(i, 16 - i) / 8.0 / 0.1, 2))) END * CASE WHEN j = 0 THEN 4 ELSE 2 * 0.6 * 4 / sqrt(n) * pow(least(j, 16 - j), -1.5) END AS v FROM f, n),
+b AS (SELECT r.i, a.q, sum(a.v * (cos(2 * pi() * a.k * r.i / 16) - sin(2 * pi() * a.k * r.i / 16))) AS v FROM a, range(16) r(i) GROUP BY 1, 2)
+SELECT b.i, r.j, round(2 + sum(b.v * (cos(2 * pi() * b.q * r.j / 16) - sin(2 * pi() * b.q * r.j / 16))) / 32, 4) AS v FROM b, range(16) r(j) GROUP BY 1, 2""")
+def correlated_field_product(spark, sf_dir):
+    parts = [(_SPACE_I, co.tabulated(spark, _SPACE_I, ha.matern_amplitude(_SPACE_I, 0.7, 0.1, -3.0))), (_SPACE_J, co.nonparametric_amplitude(spark, _SPACE_J, -1.5, 0.6))]
+    return co.field(src.grid2d(spark, sf_dir).df, parts, 2.0, 0.5).select("i", "j", F.round("v", 4).alias("v"))
+
+
+_NEAR, _FAR, _WHOLE = (math.sinh(x / 1.5) for x in (0.25, 0.75, 1.0))
+
+
+@query(f"WITH {COUNTS} SELECT 2 * (f.i - 1) + c AS i, round({_FAR / _WHOLE!r} * f.v + {_NEAR / _WHOLE!r} * g.v + {1.5 * math.sqrt(2 * _NEAR * _FAR / _WHOLE)!r} * ((2 * (f.i - 1) + c) % 7 - 3) / 4.0, 6) AS v FROM f, range(2) t(c), f g WHERE g.i = f.i + 2 * c - 1 AND f.i BETWEEN 1 AND 718")
+def refine_exponential(spark, sf_dir):
+    """Given its neighbours, a process of exponential covariance is a bridge between the nearest two."""
+    level = re.Level("i", 720, padding=1)
+    xi = spark.range(level.refined().size).select(F.col("id").alias("i"), ((F.col("id") % 7 - 3) / 4.0).alias("v"))
+    return re.refine(src.counts_hour(spark, sf_dir).df, xi, (level,), re.matern(1.5, 1.5, 0.5)).select("i", r6("v").alias("v"))
+
+
+@query(f"""WITH {GRID}, c AS (SELECT {', '.join(f'max(v) FILTER (WHERE j = {k}) AS c{k}' for k in range(9))} FROM f WHERE i = 0),
+r AS (SELECT r, CASE WHEN r IN (1, 7) THEN 4 ELSE 8 END AS n, CASE r WHEN 1 THEN 11 / 12.0 WHEN 7 THEN -11 / 12.0 ELSE (4 - r) / 3.0 END AS z, CASE WHEN r IN (1, 7) OR r % 2 = 0 THEN 0.5 ELSE 0 END AS o, CASE WHEN r = 1 THEN 0 WHEN r = 7 THEN 44 ELSE 8 * r - 12 END AS b FROM range(1, 8) t(r)),
+p AS (SELECT b + j AS i, z::DOUBLE AS z, sqrt(1 - z * z)::DOUBLE AS s, 2 * pi() * (j + o) / n AS h FROM r, range(8) u(j) WHERE j < n)
+SELECT i, round((c0 * sqrt(1 / (4 * pi())) + c1 * sqrt(3 / (4 * pi())) * z + c2 * sqrt(5 / (16 * pi())) * (3 * z * z - 1) - sqrt(2) * (c3 * cos(h) - c4 * sin(h)) * sqrt(3 / (8 * pi())) * s
+- sqrt(2) * (c5 * cos(h) - c6 * sin(h)) * sqrt(15 / (8 * pi())) * s * z + sqrt(2) * (c7 * cos(2 * h) - c8 * sin(2 * h)) * sqrt(15 / (32 * pi())) * s * s) / sqrt(4 * pi()), 6) AS v FROM p, c""")
+def spherical_synthesis(spark, sf_dir):
+    """The first row of the grid as modes up to degree 2, on 48 pixels."""
+    modes = src.grid2d(spark, sf_dir).df.where("i = 0 and j < 9").select(F.col("j").alias("i"), "v")
+    return sphere.synthesis(modes, Modes(2), Pixels(2)).select("i", r6("v").alias("v"))
+
+
+@query(f"WITH {GRID}, x AS (SELECT p, p / 37.0::DOUBLE AS x, (p * p % 11) / 11.0::DOUBLE - 0.3 AS y FROM range(50) t(p)) SELECT p, round(sum(v * cos(2 * pi() * ((i - 8) * x + (j - 8) * y))), 4) AS re, round(-sum(v * sin(2 * pi() * ((i - 8) * x + (j - 8) * y))), 4) AS im FROM f, x GROUP BY p")
+def fourier_at_points(spark, sf_dir):
+    f = src.grid2d(spark, sf_dir)
+    points = spark.range(50).select(F.col("id").alias("p"), (F.col("id") / 37.0).alias("x_i"), ((F.col("id") * F.col("id") % 11) / 11.0 - 0.3).alias("x_j"))
+    return no.at_points(ha.complex_of(f.df, ("i", "j")), points, f.axes).select("p", F.round("re", 4).alias("re"), F.round("im", 4).alias("im"))
+
+
+@query("SELECT neighbours, pixels FROM (VALUES (7, 24::BIGINT), (8, 744::BIGINT)) t(neighbours, pixels)")
+def healpix_neighbour_counts(spark, sf_dir):
+    n = F.size(hp.neighbours(hp.nest_to_cell(F.col("id"), 8), 8))
+    return spark.range(768).select(n.alias("neighbours")).groupBy("neighbours").agg(F.count("*").alias("pixels"))
+
+
+@query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def stream_hourly_counts(spark, sf_dir):
+    """The table read as a stream, to its end."""
+    got = st.drained(st.window_counts(st.opened(spark, f"{sf_dir}/events.parque[t]"), ["event_type"]))
+    return got.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(var_samp(value), 0), 6) AS variance FROM events GROUP BY 1")
+def stream_moments(spark, sf_dir):
+    got = st.drained(st.running_moments(st.opened(spark, f"{sf_dir}/events.parque[t]"), "event_type", "value"))
+    return got.select("event_type", "n", r6("mean").alias("mean"), r6("variance").alias("variance"))
