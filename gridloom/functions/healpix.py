@@ -218,26 +218,31 @@ def neighbours(cell: Column, nside: int) -> Column:
 
 
 def _beside(cell: Column, dx: int, dy: int, nside: int) -> Column:
-    n, q, row = _n(nside), F.pmod(cell["face"], _n(4)), _div(cell["face"], _n(4))
-    x, y = cell["x"] + dx, cell["y"] + dy
-    wx, wy = F.pmod(x, n), F.pmod(y, n)
-    east, north = _div(x, n), _div(y, n)  # -1, 0 or 1: over which edges of the face
-    left, right, across = F.pmod(q + 3, _n(4)), F.pmod(q + 1, _n(4)), F.pmod(q + 2, _n(4))
+    n, x, y = _n(nside), cell["x"] + dx, cell["y"] + dy
+    # over which edges of the face: 3 (east + 1) + north + 1, each -1, 0 or 1
+    edge = 3 * _div(x, n) + _div(y, n) + 4
+    state = F.struct(edge.alias("edge"), F.pmod(x, n).alias("x"), F.pmod(y, n).alias("y"), F.pmod(cell["face"], _n(4)).alias("q"), _div(cell["face"], _n(4)).alias("row"))
+    return let(state, lambda s: _landed(s, nside))
+
+
+def _landed(s: Column, nside: int) -> Column:
+    q, x, y = s["q"], s["x"], s["y"]
+    left, right, across = (F.pmod(q + k, _n(4)) for k in (3, 1, 2))
     top, low = _n(nside - 1), _n(0)
 
-    def over(a: int, b: int) -> Column:
-        return (east == a) & (north == b)
+    def over(east: int, north: int) -> Column:
+        return s["edge"] == 3 * east + north + 4
 
-    polar = (  # around the north pole faces turn by a quarter
-        F.when(over(1, 0), _cell(right, wy, top)).when(over(0, 1), _cell(left, top, wx)).when(over(1, 1), _cell(across, top, top))
-        .when(over(0, -1), _cell(4 + right, wx, wy)).when(over(-1, 0), _cell(4 + q, wx, wy)).when(over(-1, -1), _cell(8 + q, wx, wy))
+    polar = (  # around the poles faces turn by a quarter
+        F.when(over(1, 0), _cell(right, y, top)).when(over(0, 1), _cell(left, top, x)).when(over(1, 1), _cell(across, top, top))
+        .when(over(0, -1), _cell(4 + right, x, y)).when(over(-1, 0), _cell(4 + q, x, y)).when(over(-1, -1), _cell(8 + q, x, y))
     )
     belt = (
-        F.when(over(1, 0), _cell(q, wx, wy)).when(over(0, 1), _cell(left, wx, wy)).when(over(0, -1), _cell(8 + q, wx, wy)).when(over(-1, 0), _cell(8 + left, wx, wy))
-        .when(over(1, -1), _cell(4 + right, wx, wy)).when(over(-1, 1), _cell(4 + left, wx, wy))
+        F.when(over(1, 0), _cell(q, x, y)).when(over(0, 1), _cell(left, x, y)).when(over(0, -1), _cell(8 + q, x, y)).when(over(-1, 0), _cell(8 + left, x, y))
+        .when(over(1, -1), _cell(4 + right, x, y)).when(over(-1, 1), _cell(4 + left, x, y))
     )
     austral = (
-        F.when(over(1, 0), _cell(4 + right, wx, wy)).when(over(0, 1), _cell(4 + q, wx, wy)).when(over(1, 1), _cell(q, wx, wy))
-        .when(over(0, -1), _cell(8 + right, low, wx)).when(over(-1, 0), _cell(8 + left, wy, low)).when(over(-1, -1), _cell(8 + across, low, low))
+        F.when(over(1, 0), _cell(4 + right, x, y)).when(over(0, 1), _cell(4 + q, x, y)).when(over(1, 1), _cell(q, x, y))
+        .when(over(0, -1), _cell(8 + right, low, x)).when(over(-1, 0), _cell(8 + left, y, low)).when(over(-1, -1), _cell(8 + across, low, low))
     )
-    return F.when(over(0, 0), _cell(cell["face"], x, y)).when(row == 0, polar).when(row == 1, belt).otherwise(austral)
+    return F.when(over(0, 0), _cell(4 * s["row"] + q, x, y)).when(s["row"] == 0, polar).when(s["row"] == 1, belt).otherwise(austral)

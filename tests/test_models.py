@@ -154,6 +154,6 @@ def test_turning_trajectories_and_mean_fields(spark):
     q = li.quadratic(al.diagonal(table(spark, [4.0, 1.0]), ("i",)), table(spark, [4.0, -1.0]))  # mean 1, -1; deviation 1/2, 1
     chain = [dense(x, (2,)) for x in va.nuts(q, table(spark, [1.0, -1.0]), 2, 0.4, depth=2, seed=3)]
     assert len(chain) == 2 and all(np.abs(x - [1, -1]).max() < 4 for x in chain) and not np.allclose(chain[0], chain[1])
-    got = va.mean_field(q, table(spark, [0.6, -0.6]), 12, 1, 0.15)
+    got = va.mean_field(q, table(spark, [0.7, -0.7]), 5, 1, 0.15)
     assert np.abs(dense(got, (2,)) - [1, -1]).max() < 0.3 and dense(got, (2,), value="std")[0] < 0.8
     spark.conf.set("spark.sql.shuffle.partitions", "4")
